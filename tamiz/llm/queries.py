@@ -5,9 +5,10 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op2_cube_mix
 from .near_vectors import op9_near_vectors
+from .ngram_join import op4_jaccard_join
 from .packing import op10_pack
 from .substring_dedup import op6_substring_dedup
 from .suffix_array import op1_suffix_array
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op6_substring_dedup, op7_exact_dedup, op9_near_vectors, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op6_substring_dedup, op7_exact_dedup, op9_near_vectors, op10_pack)}
 SQL = {"op7_exact_dedup": OP7_SQL}
