@@ -9,6 +9,7 @@ from .ngram_join import op4_jaccard_join
 from .packing import op10_pack
 from .substring_dedup import op6_substring_dedup
 from .suffix_array import op1_suffix_array
+from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op6_substring_dedup, op7_exact_dedup, op9_near_vectors, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op5_toxicity, op6_substring_dedup, op7_exact_dedup, op9_near_vectors, op10_pack)}
 SQL = {"op7_exact_dedup": OP7_SQL}
