@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op8_language_id, page_languages
 from .mixing import op2_cube_mix
 from .near_vectors import op9_near_vectors
 from .ngram_join import op4_jaccard_join
@@ -11,5 +12,6 @@ from .substring_dedup import op6_substring_dedup
 from .suffix_array import op1_suffix_array
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op5_toxicity, op6_substring_dedup, op7_exact_dedup, op9_near_vectors, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op5_toxicity, op6_substring_dedup, op7_exact_dedup, op8_language_id, op9_near_vectors, op10_pack)}
+QUERIES["llm_page_languages"] = page_languages
 SQL = {"op7_exact_dedup": OP7_SQL}
