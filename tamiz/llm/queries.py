@@ -8,10 +8,11 @@ from .mixing import op2_cube_mix
 from .near_vectors import op9_near_vectors
 from .ngram_join import op4_jaccard_join
 from .packing import op10_pack
+from .secrets import op3_secret_scan
 from .substring_dedup import op6_substring_dedup
 from .suffix_array import op1_suffix_array
 from .toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op4_jaccard_join, op5_toxicity, op6_substring_dedup, op7_exact_dedup, op8_language_id, op9_near_vectors, op10_pack)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_cube_mix, op3_secret_scan, op4_jaccard_join, op5_toxicity, op6_substring_dedup, op7_exact_dedup, op8_language_id, op9_near_vectors, op10_pack)}
 QUERIES["llm_page_languages"] = page_languages
 SQL = {"op7_exact_dedup": OP7_SQL}
