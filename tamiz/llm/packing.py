@@ -82,11 +82,17 @@ class WordIds:
         return self.ids[pos], upto[first[1:]] - upto[first[:-1]]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One table of known words for all tasks of a Python worker."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece of docs(doc_id, text, ...)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             data, off = texts_of(batch)
             key = batch.column("doc_id")

@@ -26,7 +26,7 @@ from .superkmers import byte_kmers, packed, repeated_runs, with_runs
 from .substring_dedup import runs_of
 
 WINDOW = 50
-KMER = 20
+KMER = 16
 
 
 class Circles:
@@ -112,7 +112,7 @@ def repeated_intervals(text: np.ndarray, off: np.ndarray, shard: np.ndarray, win
     return places, common
 
 
-def judge(window: int, k: int, most: int = 3 << 20) -> callable:
+def judge(window: int, k: int, most: int = 1 << 20) -> callable:
     """Judge of a bucket: windows that also start in a document with a smaller id."""
 
     def flagged(text, off, docs, starts, marks):
@@ -136,8 +136,22 @@ def judge(window: int, k: int, most: int = 3 << 20) -> callable:
         copy = docs[live][rank] != docs[live][rank[lead]]
         copies = live[rank[same & copy]]
         own = live[rank[~same]]
+        # A string with no other of its minimiser has no windows in common with any.
+        alike, at = np.unique(value[own], return_inverse=True)
+        own = own[(np.bincount(at, minlength=len(alike)) > 1)[at]]
+        # A shared window has the minimiser and, on one side at least, half of the window's other bytes: strings that share
+        # neither such half with another one are out.
+        side = (window - k + 1) // 2
+        reach = np.zeros(len(own), bool)
+        for shift, fits in ((-side, marks[own] >= side), (0, marks[own] + k + side <= size[own])):
+            some = np.flatnonzero(fits)
+            _, at, n = np.unique(kmer_at(text, off[own[some]] + marks[own[some]] + shift, k + side), return_inverse=True, return_counts=True)
+            reach[some[n[at] > 1]] = True
+        own = own[reach]
         extra = live[rank[same & ~copy]]  # the string again in its first document
         found = [(copies, np.zeros(len(copies), np.int64), size[copies] - window + 1)]
+        if not len(own):
+            return found[0]
         # Strings of a minimiser stay together: pieces of the bucket of bounded size are indexed one after another.
         own = own[np.argsort(value[own], kind="stable")]
         ends = np.cumsum(size[own])
@@ -164,9 +178,9 @@ def judge(window: int, k: int, most: int = 3 << 20) -> callable:
 def later(text: np.ndarray, off: np.ndarray, docs: np.ndarray, strings: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, first window, end window) of windows that occur in a string of a smaller document, through the merged transforms."""
     size = np.diff(off)[strings]
-    own = packed(text, off[strings], off[strings] + size)
+    own = np.frombuffer(packed(text, off[strings], off[strings] + size), np.uint8)
     at = np.r_[0, np.cumsum(size)]
-    shards = max(2, min(64, len(own) >> 19))
+    shards = max(2, min(64, len(own) >> 18))
     shard = np.arange(len(strings)) * shards // len(strings)
     places, common = repeated_intervals(own, at, shard, window)
     of = np.searchsorted(at, places, "right") - 1
@@ -187,8 +201,7 @@ def kmer_at(text: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     acc = np.zeros(len(at), np.uint64)
     for i in range(k):
         acc = acc * np.uint64(0xD6E8FEB86659FD93) + text[at + i]
-        if i % 8 == 7:
-            acc = mixed(acc)
+        acc ^= acc >> np.uint64(31)
     return mixed(acc)
 
 

@@ -1,4 +1,4 @@
-"""Super-k-mers: runs of consecutive windows that share a minimiser, sent as one packed string to the minimiser's bucket.
+"""Super-k-mers: runs of consecutive windows that share a minimiser at one place, sent as one packed string to its bucket.
 
 Equal windows have equal minimisers, so that all copies of a window meet in one bucket. Windows are of words or of
 bytes; either way a packed string is the slice of the text that the run's windows cover.
@@ -19,9 +19,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, rolled, shuffle_parts, stored, texts_of, window_starts, word_bounds, word_hashes
+from .common import blocks, mixed, rolled, shuffle_parts, stored, texts_of, word_bounds, word_hashes
 
-_PLACE = 22  # low bits of a k-mer's rank: its place, so that the leftmost of equal k-mers is the minimiser
+_PLACE = 28  # low bits of a k-mer's rank: its place, so that the leftmost of equal k-mers is the minimiser
 _LOW = np.uint64((1 << _PLACE) - 1)
 _OTHER = np.uint64(0xA0761D6478BD642F)
 RUN = pa.schema([("doc_id", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -65,42 +65,66 @@ def byte_kmers(data: np.ndarray, k: int) -> np.ndarray:
     x = data.astype(np.uint64)
     for shift in (1, 2, 4):
         x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
-    acc = x[:n].copy()
-    for i in {*range(8, k - 8, 8), k - 8} - {0}:
-        acc = mixed(acc) + x[i:i + n]
-    return mixed(acc)
+    acc = x[:n] * np.uint64(0x9E3779B97F4A7C15)
+    for i, odd in zip(sorted({*range(8, k - 8, 8), k - 8} - {0}), (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93), strict=False):
+        acc ^= acc >> np.uint64(29)
+        acc += x[i:i + n] * np.uint64(odd)
+    acc ^= acc >> np.uint64(32)
+    acc *= np.uint64(0x94D049BB133111EB)
+    acc ^= acc >> np.uint64(29)
+    return acc
 
 
 def super_kmers(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimiser, document, place of the minimiser) of every super-k-mer."""
-    none = np.zeros(0, np.int64)
-    at = window_starts(units.first, window) if len(units.first) > 1 else none
-    if not len(at):
+    first = np.asarray(units.first)
+    last = first[1:] - window + 1  # first[d] .. last[d] - 1 are the windows of document d
+    some = np.flatnonzero(last > first[:-1])
+    if not len(some):
+        none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none, none
-    rank = (units.kmers & ~_LOW) | (np.arange(len(units.kmers), dtype=np.uint64) & _LOW)
+    low = units.kmers & ~_LOW
+    low |= np.arange(len(low), dtype=np.uint64) & _LOW
     need, span = window - k + 1, 1
-    low = rank
     while span * 2 <= need:
         low = np.minimum(low[:-span], low[span:])
         span *= 2
     if need > span:
         low = np.minimum(low[: len(low) - (need - span)], low[need - span:])
-    value = (low[at] >> np.uint64(_PLACE))
-    doc = np.searchsorted(units.first, at, "right") - 1
-    head = np.ones(len(at), bool)
-    head[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    head = np.flatnonzero(head)
-    begin = at[head]
+    value = low >> np.uint64(_PLACE)
+    # Windows run from document to document; what lies between the last window of one and the first of the next is cut out.
+    change = np.zeros(len(value) + 1, bool)
+    change[1:-1] = low[1:] != low[:-1]
+    change[first[:-1][some]] = True
+    change[last[some]] = True
+    begin = np.flatnonzero(change[:-1])
+    doc = some[np.searchsorted(last[some], begin, "right").clip(max=len(some) - 1)]
+    inside = (begin >= first[:-1][doc]) & (begin < last[doc])
+    end = np.r_[begin[1:], len(value)]
+    begin, end, doc = begin[inside], end[inside], doc[inside]
     place = (begin & ~int(_LOW)) | (low[begin] & _LOW).astype(np.int64)
     place += (place < begin) * (1 << _PLACE)
-    return begin, np.diff(np.r_[head, len(at)]), value[head], doc[head], place
+    return begin, np.minimum(end, last[doc]) - begin, value[begin], doc, place
 
 
-def packed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def packed(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     """The byte ranges lo .. hi - 1, one after another."""
-    n = hi - lo
-    total = int(n.sum())
-    return data[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+    raw = data.tobytes()
+    return b"".join([raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
+
+
+#: Bytes of text worked on at a time: the arrays of a block stay in a core's cache.
+BLOCK = 1 << 18
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The first bytes of all numbers, then the second, ...: high bytes, mostly zero, lie together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: type, n: int, at: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).reshape(-1).view(kind)
 
 
 def windows_of(docs: DataFrame, words: bool, window: int, k: int, find: Callable, out: str, close: Callable = lambda kept: None) -> DataFrame:
@@ -111,7 +135,7 @@ def windows_of(docs: DataFrame, words: bool, window: int, k: int, find: Callable
         for batch in batches:
             data, off = texts_of(batch)
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j in blocks(off, 1 << 20):
+            for i, j in blocks(off, BLOCK):
                 units = Units(data[off[i]:off[j]], off[i:j + 1] - off[i], words, k)
                 if (found := find(units, ids[i:j], super_kmers(units, window, k), kept)) is not None:
                     yield found
@@ -135,7 +159,7 @@ def heavy_minimisers(docs: DataFrame, words: bool, window: int, k: int, bucket_b
         seen, total = [], 0
         for batch in batches:
             data, off = texts_of(batch)
-            for i, j in blocks(off, 1 << 20):
+            for i, j in blocks(off, BLOCK):
                 units = Units(data[off[i]:off[j]], off[i:j + 1] - off[i], words, k)
                 value, n = np.unique(super_kmers(units, window, k)[2], return_counts=True)
                 total += int(n.sum())
@@ -177,8 +201,12 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
             for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 by_bucket.setdefault(int(bucket[i]), []).append((ids[i:j], start[i:j], size[i:j], mark[i:j], text[ends[i] - size[i]:ends[j - 1]]))
         kept.clear()
-        z = zstandard.ZstdCompressor(3)
-        rows = [z.compress(b"".join([np.array([sum(len(x[0]) for x in parts)], np.int64).tobytes(), *(x[c].tobytes() for c in range(5) for x in parts)])) for parts in by_bucket.values()]
+        z = zstandard.ZstdCompressor(6)
+        rows = []
+        for parts in by_bucket.values():
+            ids, start, size, mark = (np.concatenate([x[c] for x in parts]) for c in range(4))
+            heads = [planes(np.diff(ids, prepend=0)), planes(start), planes(size), planes(mark)]
+            rows.append(z.compress(b"".join([np.array([len(ids)], np.int64).tobytes(), *heads, *(x[4] for x in parts)])))
         return pa.RecordBatch.from_arrays([pa.array(list(by_bucket), pa.int32()), pa.array(rows, pa.binary())], ["bucket", "packed"]) if rows else None
 
     def send(units: Units, ids: np.ndarray, found: tuple, kept: list) -> pa.RecordBatch | None:
@@ -202,8 +230,9 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
             raw = z.decompress(blob)
             n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
             for column, kind in zip(columns, (np.int64, np.int32, np.int32, np.int32), strict=False):
-                column.append(np.frombuffer(raw, kind, n, at))
+                column.append(from_planes(raw, kind, n, at))
                 at += n * np.dtype(kind).itemsize
+            columns[0][-1] = np.cumsum(columns[0][-1])
             columns[4].append(np.frombuffer(raw, np.uint8, -1, at))
         docs_, starts, sizes, marks = (np.concatenate(x).astype(np.int64) for x in columns[:4])
         which, a, b = flagged(np.concatenate(columns[4]), np.r_[0, np.cumsum(sizes)], docs_, starts, marks)

@@ -67,13 +67,13 @@ def tokens(data: np.ndarray, off: np.ndarray) -> Tokens:
     starts, ends, first = word_bounds(low, off, BREAK)
     h = word_hashes(low, starts, ends)
     stem = word_hashes(low, starts, np.minimum(ends, starts + STEM_BYTES))
-    near = (h >> np.uint64(40)).astype(np.int64) & (NEXT - 1)
-    before, after = np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
+    near = ((h >> np.uint64(40)) & np.uint64(NEXT - 1)).astype(np.int32)
+    before, after = np.zeros(len(h), np.int32), np.zeros(len(h), np.int32)
     before[1:], after[:-1] = near[:-1], near[1:]
     some = first[1:] > first[:-1]
     before[first[:-1][some]] = 0
     after[first[1:][some] - 1] = 0
-    return Tokens((h & np.uint64(WORDS - 1)).astype(np.int64), (stem & np.uint64(STEMS - 1)).astype(np.int64), before, after, first, starts, ends, h, stem)
+    return Tokens((h & np.uint64(WORDS - 1)).astype(np.int32), (stem & np.uint64(STEMS - 1)).astype(np.int32), before, after, first, starts, ends, h, stem)
 
 
 def ratios(u: np.ndarray, begins: np.ndarray, order: np.ndarray, first: float) -> np.ndarray:
@@ -149,11 +149,13 @@ def fit(t: Tokens, tags: np.ndarray, rounds: int = 25, rate: float = 0.5, decay:
     for _ in range(rounds):
         odds, u, forward, backward = marginals(field, t)
         miss = y - _sigmoid(odds)
-        # Expected pairs: alpha(i) order(i, j) e_j beta_j, normalised for each token.
-        a = np.exp(field.order)
-        f, b = forward[later - 1], backward[later]
-        pair = np.stack([a[0, 0] + 0 * f, a[0, 1] * b, a[1, 0] * f, a[1, 1] * f * b])
-        expected = (pair / pair.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        # Expected pairs: alpha(i) order(i, j) e_j beta_j, normalised for each token; in parts, to hold few arrays.
+        a, expected = np.exp(field.order), np.zeros((2, 2))
+        for part in np.array_split(later, max(1, len(later) >> 19)):
+            f, b = forward[part - 1], backward[part]
+            z = 1 / (a[0, 0] + a[0, 1] * b + a[1, 0] * f + a[1, 1] * f * b)
+            expected += [[a[0, 0] * z.sum(), a[0, 1] * (b * z).sum()], [a[1, 0] * (f * z).sum(), a[1, 1] * (f * b * z).sum()]]
+        del odds, u, forward, backward
         grads = [np.bincount(t.word, miss, WORDS), np.bincount(t.stem, miss, STEMS), np.bincount(t.before, miss, NEXT), np.bincount(t.after, miss, NEXT), seen - expected]
         for k, (name, g) in enumerate(zip(("word", "stem", "before", "after", "order"), grads, strict=True)):
             value = getattr(field, name)
@@ -240,7 +242,7 @@ def label_tokens(t: Tokens, toxic: np.ndarray, least_share: float = 0.8, doubt:
     return tags & (toxic[doc] == 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> Field | None:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 1500) -> Field | None:
     """The field from at most `most_rows` labelled rows of each kind (whole texts), those smallest by a hash of doc_id; None without both kinds."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -272,14 +274,15 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000) -> Field |
 
 
 def joined_tokens(texts: list[bytes]) -> Tokens:
-    """Tokens of all texts, made in blocks."""
+    """Tokens of all texts, made in blocks, without their places."""
     off = np.r_[0, np.cumsum([len(x) for x in texts])].astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    parts = [(tokens(data[off[i]:off[j]], off[i:j + 1] - off[i])) for i, j in blocks(off, 1 << 20)]
+    parts = [tokens(data[off[i]:off[j]], off[i:j + 1] - off[i]) for i, j in blocks(off, 1 << 19)]
     sizes = np.cumsum([0] + [len(p.word) for p in parts])
     first = np.r_[0, np.concatenate([p.first[1:] + n for p, n in zip(parts, sizes, strict=False)])]
+    none = np.zeros(0, np.int64)
     cat = lambda name: np.concatenate([getattr(p, name) for p in parts])
-    return Tokens(cat("word"), cat("stem"), cat("before"), cat("after"), first, cat("starts"), cat("ends"), cat("hash"), cat("stem_hash"))
+    return Tokens(cat("word"), cat("stem"), cat("before"), cat("after"), first, none, none, cat("hash"), cat("stem_hash"))
 
 
 def chosen_documents(t: Tokens, tags: np.ndarray, chosen: np.ndarray) -> tuple[Tokens, np.ndarray]:
@@ -287,7 +290,7 @@ def chosen_documents(t: Tokens, tags: np.ndarray, chosen: np.ndarray) -> tuple[T
     sizes = np.diff(t.first)
     keep = np.repeat(chosen, sizes)
     first = np.r_[0, np.cumsum(np.where(chosen, sizes, 0))]
-    return Tokens(t.word[keep], t.stem[keep], t.before[keep], t.after[keep], first, t.starts[keep], t.ends[keep], t.hash[keep], t.stem_hash[keep]), tags[keep]
+    return Tokens(t.word[keep], t.stem[keep], t.before[keep], t.after[keep], first, t.starts, t.ends, t.hash[:0], t.stem_hash[:0]), tags[keep]
 
 
 def spans(t: Tokens, d: int, odds: np.ndarray, at: int) -> list[dict]:

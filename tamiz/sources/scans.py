@@ -19,7 +19,7 @@ def seeds(spark: SparkSession, path: str) -> DataFrame:
 
 def knowledge(spark: SparkSession, path: str) -> DataFrame:
     """source and content of all .md and .txt files below a folder; Markdown without its marks."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,txt}").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt}")
     name = F.col("_metadata.file_path")
     return files.select(name.alias("source"), F.when(name.endswith(".md"), plain_markdown("value")).otherwise(readable("value")).alias("content"))
 
