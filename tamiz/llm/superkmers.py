@@ -255,7 +255,8 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
 
     each = stored(windows_of(docs, words, window, k, spread, "a long, b long, doc_id long, start long"))
     earliest = F.struct("doc_id") if by_document else F.struct("doc_id", "start")
-    first = each.groupBy("a", "b").agg(F.min(earliest).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first")
+    # Stored, so that the join reads both sides from plain shuffles and Spark can split a window that a great many documents share.
+    first = stored(each.groupBy("a", "b").agg(F.min(earliest).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first"))
     later = each.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(earliest > F.col("first"))
     return cold.unionByName(later.select("doc_id", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
 
