@@ -1,7 +1,7 @@
 """Language identification by Bayesian fusion of text, declared language, address suffix and host.
 
-Text: hashed byte n-gram frequencies of each language (multinomial, smoothed), fitted on a bounded number of rows that
-declare a language, against a background that is no language: n-grams nearly as frequent as one another. Declared language and
+Text: hashed byte n-gram frequencies of each declared language (multinomial; rare languages back off to all languages'
+pooled frequencies), fitted on a bounded number of rows a language, against a background that is no language: n-grams nearly as frequent as one another. Declared language and
 address suffix weigh by how often they are right, counted in a grouped aggregation over all rows. Host priors are
 smoothed hierarchically: all rows, then the registered domain, then the host, each level's counts shrunk to the level
 above. What the counts come from is the text evidence alone, so that no evidence is used twice.
@@ -49,40 +49,58 @@ def grams(data: np.ndarray) -> np.ndarray:
     return ((acc * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64)
 
 
-def fit_text(docs: DataFrame, declared: str, most_rows: int = 2000, least_rows: int = 20) -> TextModel:
+def fit_text(docs: DataFrame, declared: str, most_rows: int = 2000) -> TextModel:
     """Frequencies from at most `most_rows` rows of each declared language, those smallest by a hash of doc_id.
 
-    Languages with fewer than `least_rows` rows are left out, unless all have fewer. Counting is a Spark aggregation; the
-    driver gets one count for each language and bucket.
+    Every declared language that has rows is modelled. Counting is a Spark aggregation; the driver gets the number of rows
+    of each language, and one count for each language and bucket.
     """
-    counts = docs.where(F.col(declared).isNotNull()).groupBy(declared).count().orderBy(F.col("count").desc(), declared).limit(200).collect()
-    names = sorted(r[0] for r in counts if r["count"] >= least_rows) or sorted(r[0] for r in counts)
+    total = {r[0]: r["count"] for r in docs.where(F.col(declared).isNotNull()).groupBy(declared).count().collect()}
+    names = sorted(total)
     if not names:
         return TextModel([], np.zeros((0, BUCKETS), np.float32))
     # Rows below a hash bound that leaves about most_rows of each language: no sort of texts is needed.
-    total = {r[0]: r["count"] for r in counts}
-    bound = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(min(1.0, most_rows / total[n])))])
-    chosen = docs.where(F.col(declared).isin(names)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < bound[F.col(declared)] * (1 << 30))
+    large = [x for n in names if total[n] > most_rows for x in (F.lit(n), F.lit(most_rows / total[n]))]
+    chosen = docs.where(F.col(declared).isNotNull())
+    if large:
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.create_map(*large)[F.col(declared)], F.lit(1.0)) * (1 << 30))
+    row = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(names), BUCKETS), np.int64)
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             data, off = texts_of(batch)
-            tag = batch.column("tag").to_pylist()
-            for r, name in enumerate(tag):
-                sums[names.index(name)] += np.bincount(grams(data[off[r]:off[r + 1]]), minlength=BUCKETS)
-        lang, bucket = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"])
+            for r, name in enumerate(batch.column("tag").to_pylist()):
+                own = sums.setdefault(row[name], np.zeros(BUCKETS, np.int64))
+                own += np.bincount(grams(data[off[r]:off[r + 1]]), minlength=BUCKETS)
+        for lang, own in sums.items():
+            bucket = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[bucket])], ["lang", "bucket", "n"])
 
     got = (chosen.select("text", F.col(declared).alias("tag")).mapInArrow(count, "lang int, bucket int, n long")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
-    sums = np.full((len(names), BUCKETS), 0.5)
+    sums = np.zeros((len(names), BUCKETS))
     np.add.at(sums, (got["lang"].to_numpy(), got["bucket"].to_numpy()), got["n"].to_numpy())
-    frequency = sums / sums.sum(axis=1, keepdims=True)
+    frequency = smoothed(sums)
     background = background_frequency(frequency.mean(axis=0))
     return TextModel(names, np.log(frequency / background).astype(np.float32))
 
 
+def smoothed(sums: np.ndarray) -> np.ndarray:
+    """Frequencies of buckets in each language, backed off to all languages' pooled ones.
+
+    The weight of the pooled frequencies is the number of different buckets a language shows (Witten and Bell): about half
+    for one short text, next to nothing for thousands. Chance has the same share in each language, that of half a count a
+    bucket in the largest: a small language is no nearer to chance than a large one, so it doesn't take in what is none.
+    """
+    pooled = sums.sum(axis=0) + 0.5
+    pooled /= pooled.sum()
+    n = sums.sum(axis=1, keepdims=True)
+    kinds = np.maximum(1, (sums > 0).sum(axis=1, keepdims=True))
+    chance = 0.5 * n / max(1.0, n.max())
+    return (sums + kinds * pooled + chance) / (np.maximum(1, n) + kinds + chance * BUCKETS)
+
+
 def background_frequency(mean: np.ndarray) -> np.ndarray:
     """Frequencies of buckets halfway between chance and the languages' mean flattened towards it; they sum to 1."""
     between = np.sqrt(mean * mean.mean())

@@ -120,6 +120,27 @@ def test_language(spark, empty):
     assert language_id.identify(empty).count() == 0
 
 
+def test_rare_languages_are_modelled(spark):
+    rng = random.Random(16)
+    stems = {"en": "the and ing tion ed of to in", "de": "der und ung sch ein ich", "fr": "le eau que ment ou des", "es": "los cion ado para muy por", "it": "gli zione che sono della", "pt": "nao coes uma com lho"}
+    text = lambda s: " ".join("".join(rng.choice(stems[s].split()) for _ in range(rng.randint(1, 3))) for _ in range(40))
+    declared = ["en"] * 80 + ["de"] * 60 + ["fr"] * 40 + ["es"] * 19 + ["it"] * 5 + ["pt"]
+    rows = [(i, text(s), s, s) for i, s in enumerate(declared)]
+    held = [(1000 + 10 * k + i, text(s), None, None) for k, s in enumerate(stems) for i in range(10)]
+    junk = [(2000 + i, " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(8)) for _ in range(40)), "en", "en") for i in range(10)]
+    got = {r["doc_id"]: r for r in language_id.identify(make(spark, rows + held + junk), host="source").collect()}
+    for d, _, s, _ in rows:
+        assert got[d]["language"] == s and got[d]["accepted"], (d, s)
+    for k, s in enumerate(stems):
+        assert sum(got[1000 + 10 * k + i]["language"] == s for i in range(10)) >= 9, s
+    assert not any(got[d]["accepted"] and got[d]["language"] in ("es", "it", "pt") for d, *_ in junk)
+
+
+def test_no_language_is_left_out_for_their_number(spark):
+    rows = [(i, f"texto numero {i} de la lengua", f"l{i % 230:03d}", "s") for i in range(460)]
+    assert len(language_id.fit_text(make(spark, rows), "lang").languages) == 230
+
+
 def test_forward_and_backward_are_exact():
     rng = np.random.default_rng(3)
     u, order, first = rng.standard_normal(37), rng.standard_normal((2, 2)), 0.3
