@@ -8,7 +8,8 @@ undecided. Those go on to a wider cell, level by level; the last ones are rounde
 
 Words are maximal runs of bytes outside space and 9-13; null text has none. Sources sort by code point, null last; a
 source without words has target 0. Repeated rows are documents of their own. Extra columns are ignored. Reruns agree,
-whatever the partitioning: the order within a cell is that of a seeded hash of doc_id, then doc_id and size.
+whatever the partitioning: the order within a cell is that of a seeded hash of doc_id, then doc_id, size and a hash of
+the text. Rows without doc_id are dealt to cells by the hash of their text.
 """
 
 from __future__ import annotations
@@ -87,9 +88,13 @@ def landing(p: np.ndarray, size: np.ndarray, carry: float) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most_times: float = 3.0, seed: int = 11, cell: int = CELL) -> DataFrame:
-    """doc_id, src, size, source_size, target, times, taken for every row of docs(doc_id, text, source, ...)."""
-    sizes = docs.select("doc_id", F.col("source").alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0)).cast("long").alias("size"))
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.0, most_times: float = 3.0, seed: int = 11, cell: int = CELL, row: str | None = None) -> DataFrame:
+    """doc_id, src, size, source_size, target, times, taken for every row of docs(doc_id, text, source, ...).
+
+    row: name of a long column that tells rows apart, to be returned too; or None.
+    """
+    sizes = docs.select("doc_id", F.col("source").alias("src"), F.coalesce(F.regexp_count("text", F.lit(WORD_REGEX)), F.lit(0)).cast("long").alias("size"),
+                        F.xxhash64("text").alias("digest"), (F.col(row) if row else F.lit(None)).cast("long").alias("row"))
     sizes = stored(sizes)
     goal = stored(targets(sizes, weights, share, most_times))
     ratio = F.coalesce(F.expr("try_divide(target, source_size)"), F.lit(0.0))
@@ -98,14 +103,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
     # Sums of doubles may leave a ratio a hair below a whole number.
     rows = rows.withColumn("ratio", ratio).withColumn("whole", F.floor(F.col("ratio") + 1e-12)).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole")))
     cells = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / cell)).cast("long")
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(seed)), cells)).withColumn("order", F.xxhash64("doc_id", F.lit(seed + 1)))
+    rows = rows.withColumn("own", F.coalesce("doc_id", "digest")).withColumn("cell", F.pmod(F.xxhash64("own", F.lit(seed)), cells)).withColumn("order", F.xxhash64("own", F.lit(seed + 1)))
 
     def fly(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["order", "doc_id", "size", "digest"], kind="stable")
         rng = np.random.default_rng([seed, int(pdf["cell"].iloc[0]), len(pdf)])
         return pdf.assign(p=flight(pdf["p"].to_numpy(), pdf["size"].to_numpy(), rng))
 
-    names = "doc_id long, src string, size long, source_size long, n_docs long, target double, whole long, p double, cell long, order long"
+    names = "doc_id long, src string, size long, source_size long, n_docs long, target double, whole long, p double, cell long, order long, digest long, row long"
     rows = stored(rows.select(*[c.split()[0] for c in names.split(", ")]).groupBy("src", "cell").applyInPandas(fly, names))
     undecided = "p > 1e-9 and p < 1 - 1e-9"
     done = [rows.where(f"not ({undecided})")]
@@ -119,14 +124,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: fl
         rest = rest.where(undecided)
 
     def land(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["order", "doc_id", "size"], kind="stable")
+        pdf = pdf.sort_values(["order", "doc_id", "size", "digest"], kind="stable")
         return pdf.assign(p=landing(pdf["p"].to_numpy(), pdf["size"].to_numpy(), 0.0))
 
     out = rest.groupBy("src").applyInPandas(land, names)
     for part in done:
         out = out.unionByName(part)
     times = F.col("whole") + F.round("p").cast("long")
-    return out.select("doc_id", "src", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"))
+    return out.select("doc_id", "src", "size", "source_size", "target", times.alias("times"), (times * F.col("size")).alias("taken"), *([F.col("row").alias(row)] if row else []))
 
 
 def op2_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
