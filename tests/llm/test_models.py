@@ -1,5 +1,6 @@
 """Mixing, packing, vectors, language, toxicity and secrets: against brute force, round trips and held-out rows."""
 
+import hashlib
 import random
 import zlib
 
@@ -184,3 +185,35 @@ def test_secrets(spark, empty):
     hits = [(found.get((i, a, b), False), bool(y)) for i, (a, b, y) in enumerate(findings[["start", "end", "label"]][2000:].itertuples(index=False))]
     assert sum(f == y for f, y in hits) / len(hits) > 0.93
     assert secrets.scan(empty, model).count() == 0
+
+
+def test_secrets_of_each_shape_at_exact_offsets(spark):
+    rng = random.Random(31)
+    own = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
+    some = "abcdefghkmnpqrstuvwxyzABCDEFGHKMNPQRSTUVWXYZ23456789"
+    shapes = {
+        "short quoted": lambda: ('conf password = "', "hunter" + own("0123456789", 4), '" del mar'),
+        "wide quoted": lambda: ('la "password": "', "P@ssw" + own("0123456789", 2) + "rd!" + own("0123456789", 4) + "#" + own("abcx", 1), '", que'),
+        "wide unquoted": lambda: ("DB_PASSWORD=", "Tr0" + own(some, 4) + "&" + own(some, 3) + "!" + own("0123456789", 3), "\nnext line"),
+        "short unquoted": lambda: ("user ana pwd: ", own(some, 6) + own("0123456789", 3), " y luego"),
+        "environment": lambda: ("export API_KEY=", own(some, 32), "\nPORT=80"),
+        "address": lambda: ("see https://example.com/list?page=2&token=", own(some, 32), "&lang=es now"),
+        "long quoted": lambda: ('SECRET_KEY = "', own(some, 40), '" y'),
+    }
+    rows = [(name, *make_one()) for name, make_one in shapes.items() for _ in range(20)]
+    line = b"https://example.com/?token=abcdef77&password=hunter2024&page=2"
+    assert {b"abcdef77", b"hunter2024"} <= {line[a:b] for a, b in secrets.spans(line)}
+    model = secrets.train(spark)
+    found = {}
+    for r in secrets.scan(make(spark, [(i, a + k + b, "en", "s") for i, (_, a, k, b) in enumerate(rows)]), model).collect():
+        found.setdefault(r["doc_id"], {})[r["start"], r["end"]] = r
+    hit = dict.fromkeys(shapes, 0)
+    for i, (name, a, k, _) in enumerate(rows):
+        r = found.get(i, {}).get((len(a), len(a) + len(k)))
+        hit[name] += bool(r and r["is_secret"] and r["sha256"] == hashlib.sha256(k.encode()).hexdigest())
+    assert min(hit.values()) >= 18, hit
+    wrong = sum(r["is_secret"] and s != (len(rows[i][1]), len(rows[i][1]) + len(rows[i][2])) for i, of in found.items() for s, r in of.items())
+    assert wrong <= 0.05 * len(rows), wrong
+    harmless = ['the password is "sunshine and rain"', "key: something else", "password = os.getenv('HOME_PLACE')", 'api_key = "<your-api-key>"', "password: ********", "the key = value.name here"]
+    bad = [r for r in secrets.scan(make(spark, [(i, t, "en", "s") for i, t in enumerate(harmless)]), model).collect() if r["is_secret"]]
+    assert len(bad) <= 1, bad
