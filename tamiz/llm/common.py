@@ -30,9 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder that driver and executors share: under spark.checkpoint.dir, a local one only where that is unset."""
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir. Only in local mode, a local one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tamiz-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tamiz-{uuid.uuid4().hex}"
@@ -43,7 +45,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -131,25 +142,27 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(ok[:-1]) > 0)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars; each round is joins and grouped minima only.
 
     edges: undirected pairs of longs. Returns node, component (smallest node of its component), for nodes that
-    have an edge to another node. Empty input gives an empty result; loops, repeats and nulls are ignored.
+    have an edge to another node. Rounds go on until one changes nothing: about the square of the logarithm of the
+    longest path. Empty input gives an empty result; loops, repeats and nulls are ignored.
     """
     e = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
          .where("u <> v and u is not null and v is not null").distinct())
     e = stored(e)
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k"))
-        e = stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                   .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        before, e = e, stored(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                              .unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

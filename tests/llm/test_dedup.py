@@ -102,6 +102,45 @@ def test_jaccard_chain_without_common_pivot(spark):
     assert got == brute.jaccard_components(rows)
 
 
+def test_jaccard_recursion(spark):
+    """Regions that hold a third of all documents, divided down to pairs, some near one another and some far from all."""
+    rng = random.Random(11)
+    base, passages = [f"b{i}" for i in range(100)], [[f"p{i}x{j}" for j in range(14)] for i in range(12)]
+    rows = []
+    for _ in range(60):  # a hot region of near copies, not all within the radius of one another
+        w = list(base)
+        for _ in range(rng.randrange(7)):
+            w[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    for _ in range(60):  # mixtures of common passages: far from one another, but for some
+        rows.append(" ".join(sum(rng.sample(passages, 5), [])))
+    rows += [r + " fin" for r in rng.sample(rows, 20)]
+    rows = list(enumerate(rows))
+    docs = make(spark, [(d, t, "en", "s") for d, t in rows])
+    want = brute.jaccard_components(rows)
+    assert 20 < len({c for _, c in want.values()}) < 130
+    for pivots, leaf in ((2, 2), (3, 8)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, heavy_share=1 / 10, leaf=leaf, pivots=pivots).collect()}
+        assert got == want
+
+
+def test_frequent_values_in_bounded_memory():
+    rng = np.random.default_rng(2)
+    values = np.r_[np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(10, 10**9, 4000).astype(np.uint64)]
+    seen = ngram_join.Frequent(64)
+    for part in np.array_split(rng.permutation(values), 50):
+        seen.add(part)
+        assert len(seen.values) <= 64 and seen.held < 4 * 64 + len(part)
+    seen.settle()
+    assert set(range(5)) <= set(seen.values[seen.counts > 100].tolist())
+
+
+def test_a_doc_id_with_two_texts_joins_their_components(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    out = ngram_join.jaccard_components(make(spark, [(1, a, None, None), (2, a, None, None), (2, b, None, None), (3, b, None, None)]))
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {(1, 1), (2, 1), (3, 1)}
+
+
 @pytest.mark.parametrize("operator", [exact_dedup.exact_groups, substring_dedup.without_passages, suffix_array.without_repeats, ngram_join.jaccard_components])
 def test_repeated_rows_and_missing_ids(spark, operator):
     text = " ".join(f"palabra{i}" for i in range(60))
