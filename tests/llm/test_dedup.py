@@ -119,11 +119,21 @@ def test_jaccard_recursion(spark):
     docs = make(spark, [(d, t, "en", "s") for d, t in rows])
     want = brute.jaccard_components(rows)
     assert 20 < len({c for _, c in want.values()}) < 130
-    for pivots, leaf in ((2, 2), (3, 8)):
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, heavy_share=1 / 10, leaf=leaf, pivots=pivots).collect()}
+    for pivots, leaf, most in ((1, 2, 40), (3, 8, 5)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs, heavy_share=1 / 10, leaf=leaf, pivots=pivots, most=most).collect()}
         assert got == want
 
 
+def test_sets_joined_in_one_task():
+    rng = np.random.default_rng(3)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 100 - k % 25, replace=False), rng.integers(1000, 1040, k % 30).astype(np.uint64)]) for k in range(90)]
+    both = ngram_join.common_counts(sets)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(90) for j in range(i + 1, 90))
+    assert brute.components(range(90), ngram_join.spanning_links(sets, 80)) == brute.components(range(90), want)
+
+
 def test_frequent_values_in_bounded_memory():
     rng = np.random.default_rng(2)
     values = np.r_[np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(10, 10**9, 4000).astype(np.uint64)]
