@@ -1,7 +1,8 @@
 """Suffix-array deduplication: Burrows-Wheeler transforms of shards, merged by iterative interleave refinement.
 
 The windows that may repeat are brought together by minimiser (see superkmers): a bucket holds every occurrence of its
-windows. What one task sent to a bucket is a shard. A shard's strings are taken as circles, their suffixes sorted up to
+windows, but for those so common that every task knows where they start first. Equal strings of a bucket are indexed
+once. Pieces of a bucket are indexed one after another; a piece's strings are dealt to shards. A shard's strings are taken as circles, their suffixes sorted up to
 the window's length, and the symbols before them are its transform. Shards then merge without their texts: an
 interleave (which shard comes next) is refined by reading the next symbol of each shard in interleave order and dealing
 the labels out by symbol, which sorts by one more symbol each round. Ranks at which a new block starts in a round have
@@ -11,7 +12,7 @@ A symbol is a run of bytes, numbered by its rank among those of the bucket, so t
 
 Null text is empty; texts shorter than the window lose nothing. Repeated rows with one doc_id never count as copies of
 one another; rows that share a doc_id but not a text are judged as one document. Rows without doc_id are kept whole.
-Extra columns are ignored; an empty table gives an empty result.
+Extra columns are ignored; texts of any length are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -3,8 +3,10 @@
 Equal windows have equal minimisers, so that all copies of a window meet in one bucket. Windows are of words or of
 bytes; either way a packed string is the slice of the text that the run's windows cover.
 
-A minimiser that holds more than a stated share of all super-k-mers is not sent to a bucket. Its windows are keyed by a
-128-bit digest each and meet by grouped minima, summed before the shuffle, and a join that Spark may split.
+The super-k-mers of a minimiser that holds more than a stated share of all are cut further, where a second minimiser of
+longer k-mers changes, and dealt to buckets by both. Single windows that hold more than that share do not travel: they
+are few, so that the place where each starts first, found by grouped minima that are summed before the shuffle, is
+known to every task (by a 128-bit digest of the window), and each task flags its own.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mixed, rolled, shuffle_parts, stored, texts_of, word_bounds, word_hashes
+from .common import Frequent, blocks, forget, mixed, rolled, shuffle_parts, stored, texts_of, word_bounds, word_hashes
 
 _PLACE = 28  # low bits of a k-mer's rank: its place, so that the leftmost of equal k-mers is the minimiser
 _LOW = np.uint64((1 << _PLACE) - 1)
@@ -45,6 +47,12 @@ class Units:
         """Byte ranges of the items a .. b - 1."""
         return (a, b) if self.starts is None else (self.starts[a], self.ends[b - 1])
 
+    def second(self, at: np.ndarray, window: int) -> np.ndarray:
+        """For the windows at the given items, the minimiser of longer k-mers (10 words, 24 bytes) by another hash."""
+        k = min(window, 10 if self.hash is not None else 24)
+        kmers = rolled(self.hash, k) if self.hash is not None else byte_kmers(self.data, k)
+        return lowest(mixed(kmers ^ _OTHER), window - k + 1)[at] >> np.uint64(_PLACE)
+
     def digests(self, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of the windows that start at the given items."""
         if self.hash is not None:
@@ -75,6 +83,18 @@ def byte_kmers(data: np.ndarray, k: int) -> np.ndarray:
     return acc
 
 
+def lowest(kmers: np.ndarray, need: int) -> np.ndarray:
+    """The least rank (of k-mer, then place) among every `need` consecutive k-mers."""
+    low, span = kmers & ~_LOW, 1
+    low |= np.arange(len(low), dtype=np.uint64) & _LOW
+    while span * 2 <= need:
+        low = np.minimum(low[:-span], low[span:])
+        span *= 2
+    if need > span:
+        low = np.minimum(low[: len(low) - (need - span)], low[need - span:])
+    return low
+
+
 def super_kmers(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first window, number of windows, minimiser, document, place of the minimiser) of every super-k-mer."""
     first = np.asarray(units.first)
@@ -83,14 +103,7 @@ def super_kmers(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarr
     if not len(some):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), none, none
-    low = units.kmers & ~_LOW
-    low |= np.arange(len(low), dtype=np.uint64) & _LOW
-    need, span = window - k + 1, 1
-    while span * 2 <= need:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if need > span:
-        low = np.minimum(low[: len(low) - (need - span)], low[need - span:])
+    low = lowest(units.kmers, window - k + 1)
     value = low >> np.uint64(_PLACE)
     # Windows run from document to document; what lies between the last window of one and the first of the next is cut out.
     change = np.zeros(len(value) + 1, bool)
@@ -145,37 +158,37 @@ def windows_of(docs: DataFrame, words: bool, window: int, k: int, find: Callable
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, out)
 
 
-def heavy_minimisers(docs: DataFrame, words: bool, window: int, k: int, bucket_bytes: int, least_share: float = 1e-6) -> tuple[np.ndarray, int]:
-    """(sorted minimisers that hold a large share of all super-k-mers, number of buckets).
+def heavy_minimisers(docs: DataFrame, words: bool, window: int, k: int, bucket_bytes: int, least_share: float = 1e-6) -> tuple[np.ndarray, int, float]:
+    """(sorted minimisers that hold a large share of all super-k-mers, number of buckets, super-k-mers that are such a share).
 
     A minimiser with a share s of all has at least s/2 of all within tasks where its own share is s/2 or more; each task
     so names at most 2/s minimisers, and at most 2/s are left. s is an eighth of a bucket's mean, least_share at least.
+    A task's counters are bounded; those of rare minimisers may be too low.
     """
     totals = docs.where("doc_id is not null").agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_buckets = max(8, math.ceil(4 * totals / bucket_bytes))
     share = max(1 / (8 * n_buckets), least_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = [], 0
+        seen, total = Frequent(1 << 18), 0
         for batch in batches:
             data, off = texts_of(batch)
             for i, j in blocks(off, BLOCK):
-                units = Units(data[off[i]:off[j]], off[i:j + 1] - off[i], words, k)
-                value, n = np.unique(super_kmers(units, window, k)[2], return_counts=True)
-                total += int(n.sum())
-                seen.append((value, n))
+                value = super_kmers(Units(data[off[i]:off[j]], off[i:j + 1] - off[i], words, k), window, k)[2]
+                total += len(value)
+                seen.add(value)
         if total:
-            value, n = (np.concatenate(x) for x in zip(*seen, strict=True))
-            value, back = np.unique(value, return_inverse=True)
-            n = np.bincount(back, n).astype(np.int64)
-            big = n >= max(2, total * share / 2)
-            value, n = np.r_[value[big].astype(np.int64), -1], np.r_[n[big], total]
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["value", "n"])
-
-    counted = stored(docs.where("doc_id is not null").select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")))
+            seen.settle()
+            big = seen.counts >= max(2, total * share / 2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[seen.values[big].astype(np.int64), -1]), pa.array(np.r_[seen.counts[big], total])], ["value", "n"])
+
+    counted = docs.where("doc_id is not null").select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
+    counted = stored(counted)
     total = (counted.where("value = -1").first() or [0, 0])[1]
     least = max(64, total * share / 2)
-    return np.array(sorted(r[0] for r in counted.where(F.col("value") >= 0).where(F.col("n") >= least).collect()), np.uint64), n_buckets
+    heavy = np.array(sorted(r[0] for r in counted.where(F.col("value") >= 0).where(F.col("n") >= least).collect()), np.uint64)
+    forget(counted)
+    return heavy, n_buckets, least
 
 
 def _is_in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -191,10 +204,21 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
     one bucket: strings text[offsets[i]:offsets[i + 1]], their documents, first items, and the minimiser's item in each.
     by_document: earlier means a smaller doc_id; else also an earlier start in the same document.
     """
-    heavy, n_buckets = heavy_minimisers(docs, words, window, k, bucket_bytes)
+    heavy, n_buckets, least = heavy_minimisers(docs, words, window, k, bucket_bytes)
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(heavy)  # at most 2 / share entries
 
+    def heavy_windows(units: Units, found: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the super-k-mer, window, its digest in two parts) of the windows of heavy minimisers."""
+        some = np.flatnonzero(_is_in(hot.value, found[2]))
+        n = found[1][some]
+        of = np.repeat(some, n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(found[0][some], n)
+        return of, at, *(units.digests(at, window) if len(at) else (np.zeros(0, np.uint64),) * 2)
+
+    common = common_windows(docs, words, window, k, heavy_windows, least, by_document) if len(heavy) else None
+    known = spark.sparkContext.broadcast(common)  # as bounded as the list of minimisers: each holds that share
+
     def flush(kept: list) -> pa.RecordBatch | None:
         by_bucket: dict[int, list] = {}
         for bucket, edges, ids, start, mark, size, ends, text in kept:
@@ -211,7 +235,18 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
 
     def send(units: Units, ids: np.ndarray, found: tuple, kept: list) -> pa.RecordBatch | None:
         cold = ~_is_in(hot.value, found[2])
+        key = found[2]
         at, n, value, doc, place = (x[cold] for x in found)
+        if not cold.all():
+            of, w, a, b = heavy_windows(units, found)
+            rare = place_of(known.value, a, b) < 0
+            of, w = of[rare], w[rare]
+            second = units.second(w, window)
+            head = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (w[1:] != w[:-1] + 1) | (second[1:] != second[:-1])][: len(w)])
+            of, count = of[head], np.diff(np.r_[head, len(w)])
+            at, n = np.r_[at, w[head]], np.r_[n, count]
+            doc, place = np.r_[doc, found[3][of]], np.r_[place, found[4][of]]
+            value = np.r_[value, mixed(key[of] ^ mixed(second[head]))]
         if not len(at):
             return None
         bucket = (mixed(value) % np.uint64(n_buckets)).astype(np.int32)
@@ -240,25 +275,53 @@ def repeated_runs(docs: DataFrame, words: bool, window: int, k: int, flagged: Ca
 
     sent = windows_of(docs, words, window, k, send, "bucket int, packed binary", flush)
     cold = sent.repartition(min(n_buckets, 4 * shuffle_parts(spark)), "bucket").groupBy("bucket").applyInPandas(judge, "doc_id long, lo long, hi long")
-    if not len(heavy):
+    if common is None or not len(common[0]):
         return cold
 
-    def spread(units: Units, ids: np.ndarray, found: tuple, kept: list) -> pa.RecordBatch | None:
-        some = _is_in(hot.value, found[2])
-        at, n, _, doc, _ = (x[some] for x in found)
-        if not len(at):
+    def flag(units: Units, ids: np.ndarray, found: tuple, kept: list) -> pa.RecordBatch | None:
+        of, w, a, b = heavy_windows(units, found)
+        at = place_of(known.value, a, b)
+        doc = found[3][of]
+        own, start = ids[doc].astype(np.int64), w - np.asarray(units.first)[doc]
+        _, _, first_doc, first_start = known.value
+        later = (at >= 0) & ((own > first_doc[at]) | (False if by_document else (own == first_doc[at]) & (start > first_start[at])))
+        if not later.any():
+            return None
+        own, start, doc = own[later], start[later], doc[later]
+        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])
+        last = np.r_[head[1:], len(doc)] - 1
+        return pa.RecordBatch.from_arrays([pa.array(own[head]), pa.array(start[head]), pa.array(start[last] + window)], schema=RUN)
+
+    return cold.unionByName(windows_of(docs, words, window, k, flag, "doc_id long, lo long, hi long"))
+
+
+def common_windows(docs: DataFrame, words: bool, window: int, k: int, heavy_windows: Callable, least: float, by_document: bool) -> tuple:
+    """Digest parts a (sorted), b, and the first document and start of the windows of heavy minimisers that start `least` times or more."""
+
+    def count(units: Units, ids: np.ndarray, found: tuple, kept: list) -> pa.RecordBatch | None:
+        of, w, a, b = heavy_windows(units, found)
+        if not len(w):
             return None
-        doc = np.repeat(doc, n)
-        at = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at, n)
-        a, b = units.digests(at, window)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids[doc].astype(np.int64)), pa.array((at - units.first[doc]).astype(np.int64))], ["a", "b", "doc_id", "start"])
-
-    each = stored(windows_of(docs, words, window, k, spread, "a long, b long, doc_id long, start long"))
-    earliest = F.struct("doc_id") if by_document else F.struct("doc_id", "start")
-    # Stored, so that the join reads both sides from plain shuffles and Spark can split a window that a great many documents share.
-    first = stored(each.groupBy("a", "b").agg(F.min(earliest).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("a").alias("fa"), F.col("b").alias("fb"), "first"))
-    later = each.join(first, (F.col("a") == F.col("fa")) & (F.col("b") == F.col("fb"))).where(earliest > F.col("first"))
-    return cold.unionByName(later.select("doc_id", F.col("start").alias("lo"), (F.col("start") + window).alias("hi")))
+        doc = found[3][of]
+        own, start = ids[doc].astype(np.int64), w - np.asarray(units.first)[doc]
+        order = np.lexsort((start, own, b, a))
+        a, b, own, start = a[order], b[order], own[order], start[order]
+        head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[head].view(np.int64), b[head].view(np.int64), own[head], start[head], np.diff(np.r_[head, len(a)]))], ["a", "b", "doc_id", "start", "n"])
+
+    each = windows_of(docs, words, window, k, count, "a long, b long, doc_id long, start long, n long")
+    found = each.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "start")).alias("first")).where(F.col("n") >= least).select("a", "b", "first.doc_id", "first.start").toArrow()
+    a, b, doc, start = (found.column(c).to_numpy() for c in ("a", "b", "doc_id", "start"))
+    order = np.lexsort((b.view(np.uint64), a.view(np.uint64)))
+    return a.view(np.uint64)[order], b.view(np.uint64)[order], doc[order], start[order]
+
+
+def place_of(common: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of each digest among the common windows, -1 for others. Of two with equal first parts one is found; the other goes to buckets."""
+    if not len(common[0]):
+        return np.full(len(a), -1)
+    at = np.minimum(np.searchsorted(common[0], a), len(common[0]) - 1)
+    return np.where((common[0][at] == a) & (common[1][at] == b), at, -1)
 
 
 def joined(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tamiz.llm import exact_dedup, ngram_join, substring_dedup, suffix_array, superkmers
+from tamiz.llm import common, exact_dedup, ngram_join, substring_dedup, suffix_array, superkmers
 
 from . import brute
 from .conftest import make
@@ -51,7 +51,12 @@ def test_suffix_array(docs, texts, empty):
 
 def test_heavy_minimisers_give_the_same(docs, texts, monkeypatch):
     real = superkmers.heavy_minimisers
-    monkeypatch.setattr(superkmers, "heavy_minimisers", lambda *a, **k: (np.unique(superkmers_of(texts)), real(*a, **k)[1]))
+    for least in (2, 10**9):  # all their repeated windows are common ones; none is
+        monkeypatch.setattr(superkmers, "heavy_minimisers", lambda *a, **k: (np.unique(superkmers_of(texts)), real(*a, **k)[1], least))
+        check(docs, texts)
+
+
+def check(docs, texts):
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in substring_dedup.without_passages(docs).collect()}
     assert got == brute.repeated_words(texts)
 
@@ -137,7 +142,7 @@ def test_sets_joined_in_one_task():
 def test_frequent_values_in_bounded_memory():
     rng = np.random.default_rng(2)
     values = np.r_[np.repeat(np.arange(5, dtype=np.uint64), 400), rng.integers(10, 10**9, 4000).astype(np.uint64)]
-    seen = ngram_join.Frequent(64)
+    seen = common.Frequent(64)
     for part in np.array_split(rng.permutation(values), 50):
         seen.add(part)
         assert len(seen.values) <= 64 and seen.held < 4 * 64 + len(part)
