@@ -24,8 +24,7 @@ def exclusion_code(text: Column | str) -> Column:
     """The condition's code, or null for text that can be classified."""
     t = as_column(text)
     body = trimmed(t)
-    chars = F.array_distinct(F.split(F.regexp_replace(body, " ", ""), ""))
-    repeated = (F.length(body) >= 3) & (F.size(F.filter(chars, lambda c: c != "")) == 1)
+    repeated = (F.length(body) >= 3) & body.rlike(r"(?s)^ *([^ ])(?: |\1)*$")
     only_url = t.rlike(URL_HOST) & ~F.regexp_replace(t, FULL_URL, " ").rlike(WORD)
     only_mention = body.rlike(MENTION) & ~F.regexp_replace(F.regexp_replace(body, FULL_URL, " "), MENTION, " ").rlike(WORD)
     word = F.lower(F.regexp_extract(letters_only(t), WORD, 0))

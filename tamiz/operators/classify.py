@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import or_
+from functools import cache
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +22,51 @@ def plain(words: list[str]) -> list[str]:
     return ["".join(c for c in unicodedata.normalize("NFKD", w.lower()) if not unicodedata.combining(c)) for w in words]
 
 
+HITS = "array<struct<i:int,categoria:string,dimension:string,severidad:string,score:int,bucket:string,marcadores:array<string>>>"
+#: All words and contexts of the buckets, plain, and their numbers.
+NUMBERS = {w: i for i, w in enumerate(sorted({p for *_, words, context in BUCKETS for p in plain([*words, *(context or [])])}))}
+
+
+@cache
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for word, i in NUMBERS.items():
+        a.add_word(word, i)
+    a.make_automaton()
+    return a
+
+
+def words_found(norm: Column) -> Column:
+    """array<int>: numbers of the words that occur anywhere in a normalised text, all in one pass over it.
+
+    It leaves the JVM, as Spark has no search for many words at once (a scan for each is many times slower), and counts as
+    not deterministic, so that no filter repeats it.
+    """
+
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _automaton().iter
+        for batch in batches:
+            yield batch.map(lambda t: sorted({i for _, i in find(t)}))
+
+    return F.pandas_udf(scan, "array<int>").asNondeterministic()(norm)
+
+
 def keyword_labels(text: Column | str, most: int = MAX_LABELS) -> Column:
     """array<struct(categoria, dimension, severidad, score, buckets, marcadores)> of the buckets that the text hits.
 
     Words match anywhere, without case and accents. Buckets of one (category, sub-dimension) join: the first one's
     severity unless a later one is higher, all their markers, the highest score. Most severe first, then bucket order.
     """
-    def hits(norm: Column) -> Column:
+    def hits(found: Column) -> Column:
+        has = lambda word: F.array_contains(found, NUMBERS[word])
         out = []
         for i, (name, cat, dim, sev, score, words, context) in enumerate(BUCKETS):
-            found = F.array_compact(F.array(*[F.when(F.contains(norm, F.lit(p)), F.lit(w)) for w, p in zip(words, plain(words), strict=True)]))
-            near = reduce(or_, [F.contains(norm, F.lit(p)) for p in plain(context)]) if context else F.lit(True)
+            markers = F.array_compact(F.array(*[F.when(has(p), F.lit(w)) for w, p in zip(words, plain(words), strict=True)]))
+            near = F.arrays_overlap(found, F.array(*[F.lit(NUMBERS[p]) for p in plain(context)])) if context else F.lit(True)
             head = [F.lit(v).alias(k) for k, v in (("i", i), ("categoria", cat), ("dimension", dim), ("severidad", sev), ("score", score), ("bucket", name))]
-            out.append(F.struct(*head, F.when(near, found).otherwise(F.array().cast("array<string>")).alias("marcadores")))
-        return F.filter(F.array(*out), lambda x: F.size(x["marcadores"]) > 0)
+            out.append(F.struct(*head, F.when(near, markers).otherwise(F.array().cast("array<string>")).alias("marcadores")))
+        # Most texts have none of the words.
+        return F.filter(F.when(F.size(found) > 0, F.array(*out)), lambda x: F.size(x["marcadores"]) > 0)
 
     def ranked(hit: Column) -> Column:
         firsts = F.filter(hit, lambda x: ~F.exists(hit, lambda y: (y["i"] < x["i"]) & (y["dimension"] == x["dimension"])))
@@ -51,7 +82,8 @@ def keyword_labels(text: Column | str, most: int = MAX_LABELS) -> Column:
         best = F.slice(F.array_sort(F.transform(firsts, joined)), 1, most)
         return F.transform(best, lambda x: F.struct(*[x[f].alias(f) for f in ("categoria", "dimension", "severidad", "score", "buckets", "marcadores")]))
 
-    return bound(bound(without_accents(F.lower(F.coalesce(as_column(text), F.lit("")))), hits), ranked)
+    found = words_found(without_accents(F.lower(F.coalesce(as_column(text), F.lit("")))))
+    return bound(bound(found, lambda x: F.coalesce(hits(x), F.array().cast(HITS))), ranked)
 
 
 def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "text") -> DataFrame:

@@ -55,8 +55,19 @@ def union_first(*frames: DataFrame, key: str = "id") -> DataFrame:
     return out
 
 
-def upsert(current: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """Current rows with those of the batch in place or added; a null in the batch leaves the current value."""
+def last_of(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
+    """One row of each key: the last by order, or any where no order is given."""
+    if order is None:
+        return batch.dropDuplicates(keys)
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_last")).select("_last.*")
+
+
+def upsert(current: DataFrame, batch: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Current rows with those of the batch in place or added; a null in the batch leaves the current value.
+
+    Of rows of the batch with one key the last by order counts.
+    """
+    batch = last_of(batch, keys, order)
     b = batch.select(*[F.col(c).alias(f"_{c}") for c in batch.columns])
     on = [F.col(k) == F.col(f"_{k}") for k in keys]
     both = current.join(b, on, "full_outer")
@@ -74,8 +85,8 @@ def repoint(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
-    """A column filled from updates(key, value) where it is null."""
-    u = updates.select(F.col(key).alias("_k"), F.col("value").alias("_v"))
+    """A column filled from updates(key, value) where it is null; of several values of one key the greatest."""
+    u = updates.groupBy(key).agg(F.max("value").alias("value")).select(F.col(key).alias("_k"), F.col("value").alias("_v"))
     return df.join(u, F.col(key) == F.col("_k"), "left").withColumn(column, F.coalesce(column, "_v")).drop("_k", "_v")
 
 

@@ -9,12 +9,12 @@ from tamiz.functions.vocabulary import AGGRESSION, BUCKETS, CODES, COMMON, GENDE
 from tamiz.operators import chunks, classify, dedup, stats, vectors
 from tamiz.operators.classify import plain
 from tamiz.sources import html
-from tamiz.sources.model import table, view
+from tamiz.sources.model import spread, table, view
 
 from .registry import query
 
 def documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 @query("x1_clean_posts")

@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where the files have fewer parts than that (a small table of long texts); large tables stay as they are."""
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the content model over the tables in sf_dir."""
     for t in _READS.get(name, []):

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tamiz.operators import chunks, dedup, evaluate, relational, review, stats, vectors
 from tamiz.sources import scans, sinks
@@ -58,11 +59,26 @@ def test_evaluation(spark):
     assert (m["tp"], m["fp"], m["fn"]) == (1, 1, 1)
 
 
-def test_chunks():
-    assert chunks.chunks(None) == [] and chunks.chunks(" a  b ") == ["a b"]
+def test_chunks(spark):
     text = ". ".join(f"Frase numero {i} de la serie" for i in range(60)) + "."
-    parts = chunks.chunks(text, 100, 10)
-    assert len(parts) > 10 and parts[1].startswith(parts[0][-10:].strip()[:5]) or parts[1][:10] in parts[0]
+    rows = spark.createDataFrame([(1, None), (2, " a  b "), (3, text), (4, "x" * 130 + ". fin"), (5, "")], "id int, text string")
+    got = {r["id"]: r["c"] for r in rows.select("id", chunks.chunk_list("text", 100, 10).alias("c")).collect()}
+    assert got[1] == got[5] == [] and got[2] == ["a b"] and got[4] == ["x" * 100, "x" * 30 + ". fin"]
+    parts = got[3]
+    assert all(b.startswith(a[-10:].lstrip()) for a, b in zip(parts, parts[1:])) and all(len(p) <= 110 for p in parts)
+    whole = parts[0] + "".join(b[len(a[-10:].lstrip()):] if b.startswith(a[-10:]) else b for a, b in zip(parts, parts[1:]))
+    assert [w for i in range(60) if (w := f"Frase numero {i} de") not in whole] == []
+    flat = chunks.chunked(rows, "id", size=100, overlap=10)
+    assert flat.groupBy("id").count().count() == 3 and flat.select("chunk_id").distinct().count() == flat.count() == 1 + 2 + len(parts)
+
+
+def test_repeated_keys_of_a_batch(spark):
+    now = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    batch = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1)], "id int, v string, pos int")
+    got = relational.upsert(now.withColumn("pos", F.lit(0)), batch, ["id"], "pos")
+    assert sorted((r["id"], r["v"]) for r in got.collect()) == [(1, "y"), (2, "b"), (3, "z")]
+    filled = relational.fill_missing(spark.createDataFrame([(1, None), (2, "b")], "id int, v string"), spark.createDataFrame([(1, "p"), (1, "q")], "id int, value string"), "id", "v")
+    assert sorted((r["id"], r["v"]) for r in filled.collect()) == [(1, "q"), (2, "b")]
 
 
 def test_search_refuses_unbounded_queries(spark):
