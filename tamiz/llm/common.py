@@ -145,23 +145,26 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
 
 
 class Frequent:
-    """Counts of the most frequent values seen, in bounded memory: when there are too many, all lose as much as the least of the most frequent has."""
+    """Counts of the most frequent values seen, in bounded memory: when there are too many, all lose as much as the first left out has."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int, kind: type = np.uint64):
         self.most, self.waiting, self.held = most, [], 0
-        self.values, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.values, self.counts = np.zeros(0, kind), np.zeros(0, np.int32)
 
     def add(self, values: np.ndarray) -> None:
         self.waiting.append(values)
         self.held += len(values)
-        if self.held >= 4 * self.most:
+        if self.held >= self.most:
             self.settle()
 
     def settle(self) -> None:
-        value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
+        value, count = np.unique(np.concatenate([self.values[:0], *self.waiting]), return_counts=True)
         self.waiting, self.held = [], 0
-        self.values, back = np.unique(np.concatenate([self.values, value]), return_inverse=True)
-        self.counts = np.bincount(back, np.r_[self.counts, count], len(self.values)).astype(np.int64)
+        at = np.searchsorted(self.values, value)
+        known = self.values[np.minimum(at, max(0, len(self.values) - 1))] == value if len(self.values) else np.zeros(len(value), bool)
+        self.counts[at[known]] += count[known].astype(np.int32)
+        self.values = np.insert(self.values, at[~known], value[~known])
+        self.counts = np.insert(self.counts, at[~known], count[~known])
         if len(self.values) > self.most:
             self.counts -= np.partition(self.counts, -self.most - 1)[-self.most - 1]
             self.values, self.counts = self.values[self.counts > 0], self.counts[self.counts > 0]

@@ -145,7 +145,7 @@ def test_frequent_values_in_bounded_memory():
     seen = common.Frequent(64)
     for part in np.array_split(rng.permutation(values), 50):
         seen.add(part)
-        assert len(seen.values) <= 64 and seen.held < 4 * 64 + len(part)
+        assert len(seen.values) <= 64 and seen.held < 64 + len(part)
     seen.settle()
     assert set(range(5)) <= set(seen.values[seen.counts > 100].tolist())
 
