@@ -180,7 +180,7 @@ def heavy_minimisers(docs: DataFrame, words: bool, window: int, k: int, bucket_b
         if total:
             seen.settle()
             big = seen.counts >= max(2, total * share / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.r_[seen.values[big].astype(np.int64), -1]), pa.array(np.r_[seen.counts[big], total])], ["value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.r_[seen.values[big].astype(np.int64), -1]), pa.array(np.r_[seen.counts[big].astype(np.int64), total])], ["value", "n"])
 
     counted = docs.where("doc_id is not null").select("text").mapInArrow(run, "value long, n long").groupBy("value").agg(F.sum("n").alias("n"))
     counted = stored(counted)
