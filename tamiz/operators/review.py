@@ -104,3 +104,10 @@ def bulk_agree(selected: DataFrame, feedback: DataFrame) -> DataFrame:
     """Reviews that agree, for selected analyses without one."""
     done = feedback.select(F.col("analysis_result_id").alias("_k"))
     return selected.join(done, F.col("id") == F.col("_k"), "left_anti").select(F.col("id").alias("analysis_result_id"), F.lit("true").alias("agrees"))
+
+
+def pending_count(analysis: DataFrame, feedback: DataFrame) -> DataFrame:
+    """pending: analyses decided as violent or not, neither excluded nor reviewed yet."""
+    open_ = analysis.where(F.col("tiene_violencia").isin("true", "false") & ~is_excluded())
+    reviewed = feedback.select(F.col("analysis_result_id").alias("id"))
+    return open_.join(reviewed, "id", "left_anti").agg(F.count("*").alias("pending"))

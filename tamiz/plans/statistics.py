@@ -283,3 +283,9 @@ def evaluation_summary(spark, d):
 @query("g6_label_histogram", f"with {_EVAL} select n_gt as n_labels, count(*) as items, 'ground_truth' as side from it group by 1 union all select n_pred, count(*), 'predicted' from it group by 1")
 def label_histogram(spark, d):
     return G.label_histogram(G.per_item(*_evaluation(spark, d)))
+
+
+@query("v9_pending_reviews", """select count(*) as pending from m_analysis a where tiene_violencia in ('true', 'false') and coalesce(exclusion_label not in ('CODIGO_99', 'VIOLENCIA_COMUN'), true)
+    and not exists (select 1 from m_feedback f where f.analysis_result_id = a.id)""")
+def pending_reviews(spark, d):
+    return V.pending_count(view(spark, d, "m_analysis"), view(spark, d, "m_feedback"))
