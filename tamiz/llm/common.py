@@ -147,14 +147,14 @@ def window_starts(first: np.ndarray, k: int) -> np.ndarray:
 class Frequent:
     """Counts of the most frequent values seen, in bounded memory: when there are too many, all lose as much as the first left out has."""
 
-    def __init__(self, most: int, kind: type = np.uint64):
-        self.most, self.waiting, self.held = most, [], 0
+    def __init__(self, most: int, kind: type = np.uint64, wait: int = 1):
+        self.most, self.wait, self.waiting, self.held = most, wait * most, [], 0
         self.values, self.counts = np.zeros(0, kind), np.zeros(0, np.int32)
 
     def add(self, values: np.ndarray) -> None:
         self.waiting.append(values)
         self.held += len(values)
-        if self.held >= self.most:
+        if self.held >= self.wait:
             self.settle()
 
     def settle(self) -> None:

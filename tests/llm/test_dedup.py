@@ -161,3 +161,20 @@ def test_repeated_rows_and_missing_ids(spark, operator):
     text = " ".join(f"palabra{i}" for i in range(60))
     out = operator(make(spark, [(1, text, "es", "a"), (1, text, "es", "a"), (None, text, "es", "a"), (2, text, None, None)])).collect()
     assert len(out) == 4
+
+
+def test_parities_never_exceed_the_difference():
+    """Bits in which two sets' parities differ, folded to the shorter one, are no more than the shingles in which they differ."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (1, 5, 130, 250, 260)] + [np.zeros(0, np.uint64)]
+    sets += [np.union1d(sets[3][20:], sets[4][:15]), sets[4][:200]]
+    size = np.array([len(s) for s in sets])
+    words, begin = ngram_join.parities(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), size)
+    bits = [words[a:b] for a, b in zip(begin[:-1], begin[1:])]
+    assert [len(b) for b in bits] == [2, 2, 4, 4, 8, 2, 4, 4]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            k = min(len(bits[i]), len(bits[j]))
+            x, y = (np.bitwise_xor.reduce(bits[m].reshape(-1, k), axis=0) for m in (i, j))
+            differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+            assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
