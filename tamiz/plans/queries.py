@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import content, relational, statistics  # noqa: F401  each registers its queries
+from . import content, feedback, relational, statistics  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

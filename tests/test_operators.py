@@ -101,7 +101,7 @@ def test_scans_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).first()["m"] == "a|b"
 
 
-@pytest.mark.parametrize("name", ["r3_labels_nested", "r17_upsert_customers", "a3_frequency_dimension", "a5_crosstab_pivot", "v1_adjusted", "g5_class_metrics", "l5_valid_labels", "l7_keyword_labels", "k3_nearest_vectors"])
+@pytest.mark.parametrize("name", ["r3_labels_nested", "r17_upsert_customers", "a3_frequency_dimension", "a5_crosstab_pivot", "v1_adjusted", "g5_class_metrics", "l5_valid_labels", "l7_keyword_labels", "k3_nearest_vectors", "l12_feedback_payload", "l13_valid_pairs", "a23_precision_shown"])
 def test_query_against_sql(spark, name):
     import os
 
