@@ -58,8 +58,8 @@ def severity_rank(value: Column | str) -> Column:
 
 def highest_severity(values: Column | str) -> Column:
     """Of a list of severities; an empty one gives NONE."""
-    top = F.array_max(F.transform(as_column(values), severity_rank))
-    return F.coalesce(F.element_at(F.array(*map(F.lit, (NONE, "baja", "media", "alta"))), top + 1), F.lit(NONE))
+    has = lambda name: F.exists(as_column(values), lambda x: F.lower(x) == name)
+    return F.when(has("alta"), "alta").when(has("media"), "media").when(has("baja"), "baja").otherwise(NONE)
 
 
 def primary_label(labels: Column | str) -> Column:
@@ -70,11 +70,16 @@ def primary_label(labels: Column | str) -> Column:
     return F.when(F.size(ls) > 0, F.element_at(ls, F.greatest(at, F.lit(1))))
 
 
-def valid_labels(labels: Column | str, most: int = MAX_LABELS) -> Column:
-    """Canonical labels without NONE; of equal ones (category, sub-dimension, markers) the most severe; most severe first, then as given."""
+def valid_labels(labels: Column | str, most: int = MAX_LABELS, carry: tuple[str, ...] = ()) -> Column:
+    """Canonical labels without NONE; of equal ones (category, sub-dimension, markers) the most severe; most severe first, then as given.
+
+    carry: fields of a label that stay with it, as they are.
+    """
+    kept = ("categoria", "dimension", "severidad", "marcadores", *carry)
+
     def normal(x: Column) -> Column:
         return bound(category(x["categoria"]), lambda c: bound(F.struct(c.alias("c"), dimension(c, x["dimension"]).alias("d"), severity(x["severidad"]).alias("s")), lambda y: F.struct(
-            y["c"].alias("categoria"), y["d"].alias("dimension"), y["s"].alias("severidad"), x["marcadores"].alias("marcadores"), severity_rank(y["s"]).alias("rank"),
+            y["c"].alias("categoria"), y["d"].alias("dimension"), y["s"].alias("severidad"), x["marcadores"].alias("marcadores"), *[x[f].alias(f) for f in carry], severity_rank(y["s"]).alias("rank"),
             F.concat_ws("\x01", y["c"], F.coalesce(y["d"], F.lit("\x02")), F.array_join(F.array_sort(x["marcadores"]), "\x03")).alias("key"))))
 
     def ranked(known: Column) -> Column:
@@ -86,7 +91,7 @@ def valid_labels(labels: Column | str, most: int = MAX_LABELS) -> Column:
             return bound(F.filter(known, lambda y: y["key"] == x["key"]), chosen)
 
         ordered = F.array_sort(F.filter(F.transform(known, best), lambda x: x["first"]))
-        return F.transform(F.slice(ordered, 1, most), lambda x: F.struct(*[x["label"][f].alias(f) for f in ("categoria", "dimension", "severidad", "marcadores")]))
+        return F.transform(F.slice(ordered, 1, most), lambda x: F.struct(*[x["label"][f].alias(f) for f in kept]))
 
     return bound(F.filter(F.transform(F.coalesce(as_column(labels), F.array()), normal), lambda x: x["categoria"] != NONE), ranked)
 

@@ -248,11 +248,20 @@ def readable(text: Column | str) -> Column:
     return trimmed(F.regexp_replace(F.regexp_replace(t, " +", " "), r"\n{3,}", "\n\n"))
 
 
-def json_inside(text: Column | str) -> Column:
-    """The outermost braces of a model's reply, without fences and wrapping tags; null if there are none."""
-    t = F.regexp_replace(as_column(text), r"(?is)<(think|tool|system-reminder|reminder)\b[^>]*>.*?</\1>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"```(?:json)?", ""), r"(?s)</?[A-Za-z][^>]*>", "")
-    return F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
+# Wrappers that models put around a reply.
+REPLY_WRAPPERS = ["think", "tool_calls", "system-reminder"]
+
+
+def reply_body(text: Column | str) -> Column:
+    """A model's reply without fences, wrappers and tags, from its first brace to its last; all that is left where it has none. Null gives ''."""
+    t = trimmed(F.coalesce(as_column(text), F.lit("")))
+    for mark in ("^```json", "^```", r"```\z"):
+        t = F.regexp_replace(t, mark, "")
+    for tag in REPLY_WRAPPERS:
+        t = F.regexp_replace(t, f"(?is)<{tag}>.*?</{tag}>", "")
+    t = F.regexp_replace(t, "</?[^>]+>", "")
+    braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+    return trimmed(F.when(braces != "", braces).otherwise(t))
 
 
 def json_field(text: Column | str, key: str) -> Column:

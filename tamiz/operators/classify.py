@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -11,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.exclusion import exclusion_code
-from tamiz.functions.labels import severity_rank
-from tamiz.functions.text import as_column, bound, without_accents
-from tamiz.functions.vocabulary import BUCKETS, MAX_LABELS
+from tamiz.functions.labels import highest_severity, severity_rank
+from tamiz.functions.text import as_column, bound, trimmed, without_accents
+from tamiz.functions.vocabulary import BUCKETS, JUNK, MAX_LABELS
+
+from .replies import LABEL, NO_OBJECT, NO_REPLY, classifications
 
 
 def plain(words: list[str]) -> list[str]:
@@ -86,23 +89,59 @@ def keyword_labels(text: Column | str, most: int = MAX_LABELS) -> Column:
     return bound(bound(found, lambda x: F.coalesce(hits(x), F.array().cast(HITS))), ranked)
 
 
-def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "text") -> DataFrame:
-    """content with exclusion_codigo, labels and tiene_violencia.
+def ask(model: Callable[[pd.Series], pd.Series], text: Column) -> Column:
+    """The model's reply to every text, batch by batch; null for a null text, which the model never sees, and for a whole batch at which the model fails."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out, given = pd.Series([None] * len(batch), dtype=object), batch.notna()
+            if given.any():
+                try:
+                    out[given] = list(model(batch[given].reset_index(drop=True)))
+                except Exception:  # whatever an outside model raises: its rows have no reply, and keyword labels stand in
+                    logging.getLogger(__name__).exception("the model failed on %d texts", int(given.sum()))
+            yield out
+
+    return F.pandas_udf(run, "string").asNondeterministic()(text)
+
+
+def as_labels(found: Column, text: Column) -> Column:
+    """Keyword labels in the form of those read from replies."""
+    share = lambda x: F.least(F.lit(1.0), x["score"] / 3.0)
+    return F.transform(found, lambda x: F.struct(
+        x["categoria"].alias("categoria"), x["dimension"].alias("dimension"), x["severidad"].alias("severidad"), x["marcadores"].alias("marcadores"),
+        F.concat(F.lit("Fallback rule-based: buckets="), F.array_join(x["buckets"], ", "), F.lit("; marcadores="), F.array_join(x["marcadores"], ", ")).alias("justificacion"), F.substring(text, 1, 200).alias("evidencia"),
+        F.concat(F.lit("rule-based:"), F.array_join(x["buckets"], ",")).alias("regla_disparada"), share(x).alias("confianza"), share(x).alias("score_ajuste"), F.lit(False).alias("falso_positivo")).cast(LABEL))
+
+
+def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "text", reply: str | None = None) -> DataFrame:
+    """content with tiene_violencia, severidad_global, labels, exclusion_label, exclusion_codigo, exclusion_justificacion, error.
 
-    What the cascade excludes reaches no model. model: texts of a batch to JSON lists of labels, or null where it has no
-    answer; keyword labels stand in for these, and for all without a model.
+    A blank text has no label and no exclusion. What the cascade excludes reaches no model. The rest goes to the model
+    (texts of a batch to its replies, null where it has none), or has its reply in a column; replies are read as in
+    replies.classifications. A text without a reply, or with one that is no object, has keyword labels, and so has every text
+    without a model; the error says which. A reply that can't be read gives no labels, and the error says so.
     """
-    rows = content.withColumn("exclusion_codigo", exclusion_code(text))
-    kind = "array<struct<categoria:string,dimension:string,severidad:string,score:int,buckets:array<string>,marcadores:array<string>>>"
-    own = F.when(F.col("exclusion_codigo").isNull(), keyword_labels(text)).otherwise(F.array().cast(kind))
-    if model is None:
-        rows = rows.withColumn("labels", own)
+    t = F.col(text)
+    rows = content.withColumn("_code", F.when(trimmed(F.coalesce(t, F.lit(""))) != "", exclusion_code(t)))
+    # One evaluation of the cascade: what is open is a column of its own, and all that follows hangs on it.
+    rows = rows.withColumn("_open", F.when((trimmed(F.coalesce(t, F.lit(""))) != "") & F.col("_code").isNull(), t))
+    if model is None and reply is None:
+        rows = rows.withColumns({"error": F.lit(None).cast("string"), "labels": as_labels(keyword_labels("_open"), t)})
     else:
-        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield model(batch)
-
-        asked = F.pandas_udf(ask, "string").asNondeterministic()
-        answer = F.when(F.col("exclusion_codigo").isNull(), asked(F.col(text)))
-        rows = rows.withColumn("labels", F.coalesce(F.from_json(answer, kind), own))
-    return rows.withColumn("tiene_violencia", F.when(F.size("labels") > 0, "true").otherwise("false"))
+        rows = rows.withColumn("_reply", F.when(F.col("_open").isNotNull(), F.col(reply)) if model is None else ask(model, F.col("_open")))
+        rows = classifications(rows, "_reply").drop("rescue")
+        for c in ("tiene_violencia", "severidad_global", "labels", "exclusion_label", "exclusion_codigo", "exclusion_justificacion", "error"):
+            rows = rows.withColumnRenamed(c, f"_r_{c}")
+        rows = rows.withColumn("error", F.when(F.col("_open").isNotNull(), F.col("_r_error")))
+        by_rule = F.col("error").isin(NO_REPLY, NO_OBJECT)
+        rows = rows.withColumn("_rules", as_labels(keyword_labels(F.when(by_rule, F.col("_open"))), t))
+        rows = rows.withColumn("labels", F.when(by_rule, F.col("_rules")).when(F.col("_open").isNotNull(), F.col("_r_labels")).otherwise(F.array().cast(f"array<{LABEL}>")))
+    read = [c for c in rows.columns if c.startswith("_r_")]
+    own = F.coalesce(F.col("error").isin(NO_REPLY, NO_OBJECT), F.lit(False)) if read else F.lit(True)
+    of_reply = lambda c: F.when(F.col("_open").isNotNull() & ~own, F.col(f"_r_{c}")) if read else F.lit(None)
+    severities = F.transform("labels", lambda x: x["severidad"])
+    return rows.select(
+        *content.columns, F.when(F.coalesce(of_reply("tiene_violencia").cast("boolean"), F.size("labels") > 0), "true").otherwise("false").alias("tiene_violencia"),
+        F.coalesce(of_reply("severidad_global").cast("string"), highest_severity(severities)).alias("severidad_global"), "labels",
+        F.coalesce(F.when(F.col("_code").isNotNull(), JUNK), of_reply("exclusion_label").cast("string")).alias("exclusion_label"),
+        F.coalesce("_code", of_reply("exclusion_codigo").cast("string")).alias("exclusion_codigo"), of_reply("exclusion_justificacion").cast("string").alias("exclusion_justificacion"), "error")

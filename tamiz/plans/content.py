@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamiz.functions import exclusion, labels, text, urls
-from tamiz.functions.vocabulary import AGGRESSION, BUCKETS, CODES, COMMON, GENDER_MARKERS, MATCH_ORDER
+from tamiz.functions.text import ACCENTED, PLAIN
+from tamiz.functions.vocabulary import AGGRESSION, CODES, COMMON, GENDER_MARKERS, MATCH_ORDER
 from tamiz.operators import chunks, classify, dedup, stats, vectors
-from tamiz.operators.classify import plain
 from tamiz.sources import html
 from tamiz.sources.model import spread, table, view
 
 from .registry import query
+from .rules_sql import cascade, contains_any, keyword_hits
+
 
 def documents(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
@@ -167,29 +169,22 @@ def cleaning_report(spark, d):
 _SPECIAL = "case doc_id % 12 when 0 then '' when 1 then 'https://a.example/x?y=1' when 2 then '@ana @luis,' when 3 then 'zzzzzz' when 4 then '!!! ...' when 5 then ' JaJaJa!! ' when 6 then 'Ok.' when 7 then 'aaa hola' when 8 then null else text end"
 
 
-@query("e1_exclusion_codes", f"""
-with x as (select doc_id, text, {_SPECIAL} as t from documents)
-select doc_id, case doc_id % 12 when 0 then 'COND_1_VACIO' when 1 then 'COND_2_ENLACE_HUERFANO' when 2 then 'COND_6_TAG_PERSONA' when 3 then 'COND_3_RUIDO_TIPOGRAFICO' when 4 then 'COND_3_RUIDO_TIPOGRAFICO' when 5 then 'COND_4_SOLO_RISA'
-when 6 then 'COND_5_REACCION_CORTA' when 7 then 'COND_3_RUIDO_TIPOGRAFICO' when 8 then 'COND_1_NA' end as codigo from x where doc_id % 12 < 9""")
+@query("e1_exclusion_codes", f"with s as (select doc_id, {_SPECIAL} as t from documents), {cascade('s', 'doc_id')} select doc_id, codigo from casc")
 def exclusion_codes(spark, d):
-    rows = documents(spark, d).where("doc_id % 12 < 9").select("doc_id", F.expr(_SPECIAL).alias("t"))
-    return rows.select("doc_id", exclusion.exclusion_code("t").alias("codigo"))
+    """All documents, two thirds of them replaced by texts that the cascade knows."""
+    return documents(spark, d).select("doc_id", exclusion.exclusion_code(F.expr(_SPECIAL)).alias("codigo"))
 
 
-@query("e9_exclusion_of_documents")
+@query("e9_exclusion_of_documents", f"with s as (select doc_id, text as t from documents), {cascade('s', 'doc_id')} select doc_id, codigo from casc")
 def exclusion_of_documents(spark, d):
     return documents(spark, d).select("doc_id", exclusion.exclusion_code("text").alias("codigo"))
 
 
-def _contains_any(words: list[str], column: str = "t") -> str:
-    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
-
-
 _MIXED = "concat(text, case doc_id % 4 when 0 then ' IDIOTA total' when 1 then ' eres una perra estúpida' when 2 then ' qué imbécil' else '' end)"
 
 
 @query("e8_common_violence", f"""
-select doc_id, case when not {_contains_any(GENDER_MARKERS)} and {_contains_any(AGGRESSION)} then '{COMMON}' end as etiqueta from (select doc_id, translate(lower({_MIXED}), 'áéíóúüñçàèìòùâêîôûäëïö', 'aeiouuncaeiouaeiouaeio') as t from documents) as x""")
+select doc_id, case when not {contains_any(GENDER_MARKERS)} and {contains_any(AGGRESSION)} then '{COMMON}' end as etiqueta from (select doc_id, translate(lower({_MIXED}), 'áéíóúüñçàèìòùâêîôûäëïö', 'aeiouuncaeiouaeiouaeio') as t from documents) as x""")
 def common_violence(spark, d):
     return documents(spark, d).select("doc_id", exclusion.common_violence(F.expr(_MIXED)).alias("etiqueta"))
 
@@ -239,16 +234,8 @@ def valid(spark, d):
 _KEYED = "concat(text, case doc_id % 6 when 0 then ' te voy a MATAR, feminazi' when 1 then ' jajaja a la cocina, activista' when 2 then ' a la cocina' when 3 then ' estás loca y pega' else '' end)"
 
 
-def _bucket_sql() -> str:
-    rows = []
-    for i, (name, cat, dim, sev, score, words, context) in enumerate(BUCKETS):
-        need = f" and {_contains_any(plain(context))}" if context else ""
-        rows.append(f"select doc_id, {i} as i, '{cat}' as categoria, '{dim}' as dimension, {({'baja': 1, 'media': 2, 'alta': 3})[sev]} as rank, {score} as score from t where {_contains_any(plain(words))}{need}")
-    return " union all ".join(rows)
-
-
 @query("l7_keyword_labels", f"""
-with t as (select doc_id, translate(lower({_KEYED}), 'áéíóúüñçàèìòùâêîôûäëïö', 'aeiouuncaeiouaeiouaeio') as t from documents), h as ({_bucket_sql()}),
+with t as (select doc_id, translate(lower({_KEYED}), 'áéíóúüñçàèìòùâêîôûäëïö', 'aeiouuncaeiouaeiouaeio') as t from documents), h as ({keyword_hits('t', 'doc_id')}),
 g as (select doc_id, categoria, dimension, max(rank) as rank, max(score) as score, min(i) as i from h group by 1, 2, 3), o as (select *, row_number() over (partition by doc_id order by rank desc, i) as place from g)
 select doc_id, string_agg(concat(categoria, '/', dimension, '/', score), '|' order by place) as etiquetas from o where place <= 5 group by doc_id""")
 def keyword_labels(spark, d):
@@ -256,7 +243,11 @@ def keyword_labels(spark, d):
     return rows.select("doc_id", F.array_join(F.transform("l", lambda x: F.concat_ws("/", x["categoria"], x["dimension"], x["score"].cast("string"))), "|").alias("etiquetas"))
 
 
-@query("l9_classified_documents")
+@query("l9_classified_documents", f"""
+with s as (select doc_id, text as t from documents), {cascade('s', 'doc_id')}, t as (select doc_id, translate(lower(t), '{ACCENTED}', '{PLAIN}') as t from s), h as ({keyword_hits('t', 'doc_id')}),
+g as (select doc_id, count(*) as n from (select distinct doc_id, categoria, dimension from h) as x group by doc_id)
+select casc.doc_id, case when codigo <> 'COND_1_VACIO' then codigo end as exclusion_codigo, case when codigo is null and n > 0 then 'true' else 'false' end as tiene_violencia, cast(case when codigo is null then least(5, coalesce(n, 0)) else 0 end as integer) as n_labels
+from casc left join g on g.doc_id = casc.doc_id""")
 def classified(spark, d):
     out = classify.classify(documents(spark, d).select("doc_id", "text"))
     return out.select("doc_id", "exclusion_codigo", "tiene_violencia", F.size("labels").alias("n_labels"))
@@ -266,7 +257,8 @@ def classified(spark, d):
 def flagship(spark, d):
     """Documents with their labels, junk tagged and left out, frequency of the categories that keywords give."""
     rows = classify.classify(documents(spark, d).select("doc_id", F.expr(_KEYED).alias("text")))
-    vote = rows.select(F.explode("labels").alias("l")).select("l.categoria")
+    # The outer form: a filter on the lists' size would run the cascade once more.
+    vote = rows.select(F.explode_outer("labels").alias("l")).where("l is not null").select("l.categoria")
     return stats.frequency(vote, stats.universe_of(vote, CODES), "categoria")
 
 

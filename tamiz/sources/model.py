@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamiz.functions.vocabulary import ALL_DIMENSIONS, CATEGORIES, CODES
 
+from .replies import reply_sql
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 _category = "case n_chars % 8 " + " ".join(f"when {i} then '{c}'" for i, c in enumerate(CODES)) + " else 'ninguna' end"
@@ -33,13 +35,14 @@ VIEWS = {
         from documents left join (select doc_id as ldoc, max(toxic) as toxic from labels group by doc_id) as lab on doc_id = ldoc""",
     "m_labels": f"""select doc_id as analysis_result_id, 0 as orden, {_category} as categoria, {_dims.format(c='(' + _category + ')')} as dimension, {_sev.format(x='n_chars')} as severidad from documents where n_chars % 3 <> 0
         union all select doc_id, 1, {_second}, {_dims.format(c='(' + _second + ')')}, {_sev.format(x='(n_chars + 1)')} from documents where n_chars % 3 = 2""",
+    "m_replies": reply_sql(_category, _second, _dims, _sev),
     "m_feedback": """select doc_id as analysis_result_id, case when quality = 1 then 'true' else 'false' end as agrees, concat('2026-01-', lpad(cast(doc_id % 28 + 1 as string), 2, '0')) as updated_at,
         case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then 'ninguna' else 'VDG_HOSTILIDAD_FEMINICIDIO' end as corrected_categoria, case when doc_id % 5 > 2 then '3.2' end as corrected_dimension,
         case when doc_id % 2 = 0 then 'true' else 'false' end as indexed, doc_id * 2 as pos from labels
         union all select doc_id, 'false', concat('2026-02-', lpad(cast(doc_id % 28 + 1 as string), 2, '0')), 'VDG_MANOSFERA_ANTIFEMINISMO', '4.1', 'false', doc_id * 2 + 1 from labels where doc_id % 4 = 0""",
 }
 #: Which views a view reads.
-_READS = {"m_pages": ["documents"], "m_posts": ["conversations"], "m_comments": ["conversations"], "m_analysis": ["documents", "labels"], "m_labels": ["documents"], "m_feedback": ["labels"]}
+_READS = {"m_pages": ["documents"], "m_posts": ["conversations"], "m_comments": ["conversations"], "m_analysis": ["documents", "labels"], "m_labels": ["documents"], "m_replies": ["documents"], "m_feedback": ["labels"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators on hand-made rows, and a registered query of each kind against its SQL."""
 
+import os
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,24 @@ from tamiz.operators import chunks, dedup, evaluate, relational, review, stats,
 from tamiz.sources import scans, sinks
 
 
+def same_as_sql(spark, name, d="/root/testdata/sf0.001"):
+    """A registered query gives what its SQL gives."""
+    from tamiz.plans.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in os.listdir(d):
+        con.execute(f"create view {t[:-8]} as select * from '{d}/{t}'")
+    a, b = QUERIES[name](spark, d).toPandas(), con.execute(ORACLES[name]).df()
+    cols = sorted(a.columns)
+    assert cols == sorted(b.columns) and len(a)
+
+    def plain(x):
+        """Rows as texts; numbers of either engine compare by value."""
+        return sorted(str([None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v) for v in r]) for r in x[cols].astype(object).itertuples(index=False))
+
+    assert plain(a) == plain(b)
+
+
 def test_upsert_keeps_what_is_null(spark):
     a = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, y int")
     b = spark.createDataFrame([(2, None, 5), (3, "c", None)], "k int, x string, y int")
@@ -103,20 +123,4 @@ def test_scans_and_sinks(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["r3_labels_nested", "r17_upsert_customers", "a3_frequency_dimension", "a5_crosstab_pivot", "v1_adjusted", "g5_class_metrics", "l5_valid_labels", "l7_keyword_labels", "k3_nearest_vectors", "l12_feedback_payload", "l13_valid_pairs", "a23_precision_shown"])
 def test_query_against_sql(spark, name):
-    import os
-
-    from tamiz.plans.queries import ORACLES, QUERIES
-
-    d = "/root/testdata/sf0.001"
-    con = duckdb.connect()
-    for t in os.listdir(d):
-        con.execute(f"create view {t[:-8]} as select * from '{d}/{t}'")
-    a, b = QUERIES[name](spark, d).toPandas(), con.execute(ORACLES[name]).df()
-    cols = sorted(a.columns)
-    assert cols == sorted(b.columns)
-
-    def plain(x):
-        """Rows as texts; numbers of either engine compare by value."""
-        return sorted(str([None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v) for v in r]) for r in x[cols].astype(object).itertuples(index=False))
-
-    assert plain(a) == plain(b)
+    same_as_sql(spark, name)
