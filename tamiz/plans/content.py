@@ -262,28 +262,12 @@ def flagship(spark, d):
     return stats.frequency(vote, stats.universe_of(vote, CODES), "categoria")
 
 
-def turns(spark, d):
-    return view(spark, d, "m_comments").select("id", "text", "author", "post_id", "likes", (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
-
-
 @query("d1_exact_comment_groups")
 def exact_comment_groups(spark, d):
     rows = documents(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text", F.col("lang").alias("author"), F.col("source").alias("post_id"))
     return dedup.exact_clusters(rows).select("id", "cluster")
 
 
-@query("d2_duplicate_comments")
-def duplicate_comments(spark, d):
-    """Comments in groups of duplicates, with the one that stays; similarity by matching blocks is no SQL."""
-    g = dedup.with_canonical(dedup.clusters(turns(spark, d)))
-    return g.select("id", "cluster", "canonical")
-
-
-@query("d4_merge_plan")
-def merge_plan(spark, d):
-    return dedup.merge_plan(dedup.clusters(turns(spark, d)))
-
-
 @query("k1_chunks")
 def chunk_rows(spark, d):
     return chunks.chunked(documents(spark, d), "doc_id")

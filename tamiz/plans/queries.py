@@ -1,6 +1,6 @@
 """All registered queries of the library."""
 
-from . import analyse, content, feedback, relational, replies, statistics  # noqa: F401  each registers its queries
+from . import analyse, content, feedback, loads, relational, replies, statistics  # noqa: F401  each registers its queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -157,15 +157,6 @@ def feedback_upsert(spark, d):
     return last.join(a, F.col("analysis_result_id") == F.col("id"), "left").select("analysis_result_id", "agrees", "updated_at", F.lit("false").alias("indexed"), "regla")
 
 
-@query("r20_page_load", """
-select concat('src', conv_id % 23, '_p', conv_id) as post_id, '' as author, (select count(*) from conversations c where c.turn > 0 and c.conv_id = p.conv_id) as n_comments from conversations p where turn = 0""")
-def page_load(spark, d):
-    c = table(spark, d, "conversations")
-    n = c.where("turn > 0").groupBy(F.col("conv_id").alias("k")).count()
-    key = F.concat(F.lit("src"), (F.col("conv_id") % 23).cast("string"), F.lit("_p"), F.col("conv_id").cast("string"))
-    return c.where("turn = 0").join(n, F.col("conv_id") == F.col("k"), "left").select(key.alias("post_id"), F.lit("").alias("author"), F.coalesce("count", F.lit(0)).alias("n_comments"))
-
-
 @query("r22_index_flags", "select pos, case when agrees = 'false' then 'true' else indexed end as indexed from m_feedback")
 def index_flags(spark, d):
     return view(spark, d, "m_feedback").select("pos", F.when(F.col("agrees") == "false", "true").otherwise(F.col("indexed")).alias("indexed"))
