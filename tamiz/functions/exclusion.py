@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
 from operator import or_
 
 from pyspark.sql import Column
@@ -20,8 +21,20 @@ LAUGHTER_REGEX = f"^(?:{'|'.join(LAUGHTER)}){TAIL}$"
 REACTION_REGEX = f"^(?:(?:{'|'.join(REACTIONS)}){TAIL}|{'|'.join(REACTIONS_SHORT)})$"
 
 
-def exclusion_code(text: Column | str) -> Column:
-    """The condition's code, or null for text that can be classified."""
+#: (regex, condition) of the whole normalised text, in order.
+PATTERNS = [(LAUGHTER_REGEX, "COND_4_SOLO_RISA"), (REACTION_REGEX, "COND_5_REACCION_CORTA")]
+
+
+def short_code(norm: Column, patterns: list[tuple[str, str]]) -> Column:
+    """The condition of the first pattern that a normalised text matches as a whole. Neighbours with one condition are one pattern."""
+    out = F.lit(None).cast("string")
+    for code, group in reversed([(k, [p for p, _ in g]) for k, g in groupby(patterns, key=lambda x: x[1])]):
+        out = F.when(norm.rlike("^(?:" + "|".join(f"(?:{p})" for p in group) + r")\z"), code).otherwise(out)
+    return out
+
+
+def exclusion_code(text: Column | str, patterns: list[tuple[str, str]] = PATTERNS) -> Column:
+    """The condition's code, or null for text that can be classified. patterns: as rules.usable_patterns gives them."""
     t = as_column(text)
     body = trimmed(t)
     repeated = (F.length(body) >= 3) & body.rlike(r"(?s)^ *([^ ])(?: |\1)*$")
@@ -31,8 +44,7 @@ def exclusion_code(text: Column | str) -> Column:
     lexical = F.size(F.filter(F.array_distinct(F.split(word, "")), lambda c: c != "")) >= 2
     norm = single_spaced(without_accents(F.lower(t)))
     return (F.when(t.isNull(), "COND_1_NA").when(body == "", "COND_1_VACIO").when(repeated, "COND_3_RUIDO_TIPOGRAFICO").when(only_url, "COND_2_ENLACE_HUERFANO")
-            .when(only_mention, "COND_6_TAG_PERSONA").when(~lexical, "COND_3_RUIDO_TIPOGRAFICO").when(norm.rlike(LAUGHTER_REGEX), "COND_4_SOLO_RISA")
-            .when(norm.rlike(REACTION_REGEX), "COND_5_REACCION_CORTA"))
+            .when(only_mention, "COND_6_TAG_PERSONA").when(~lexical, "COND_3_RUIDO_TIPOGRAFICO").otherwise(short_code(norm, patterns)))
 
 
 def exclusion(text: Column | str) -> Column:
@@ -41,8 +53,8 @@ def exclusion(text: Column | str) -> Column:
     return F.struct(F.when(code.isNotNull(), JUNK).alias("etiqueta"), code.alias("codigo"))
 
 
-def common_violence(text: Column | str) -> Column:
+def common_violence(text: Column | str, aggression: list[str] = AGGRESSION, markers: list[str] = GENDER_MARKERS) -> Column:
     """COMMON for aggression without any mark of gender, else null. Words match anywhere, accents are ignored."""
     norm = without_accents(F.lower(F.coalesce(as_column(text), F.lit(""))))
-    has = lambda t, words: reduce(or_, [F.contains(t, F.lit(w)) for w in words])
-    return bound(norm, lambda t: F.when(~has(t, GENDER_MARKERS) & has(t, AGGRESSION), COMMON))
+    has = lambda t, words: reduce(or_, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
+    return bound(norm, lambda t: F.when(~has(t, markers) & has(t, aggression), COMMON))

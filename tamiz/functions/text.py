@@ -264,14 +264,24 @@ def reply_body(text: Column | str) -> Column:
     return trimmed(F.when(braces != "", braces).otherwise(t))
 
 
-def json_field(text: Column | str, key: str) -> Column:
-    """The text value of a key in embedded JSON, decoded; null if the key isn't there."""
-    raw = F.nullif(F.regexp_extract(as_column(text), rf'"{key}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
-    return F.from_json(F.concat(F.lit('{"v":"'), raw, F.lit('"}')), "v string")["v"]
+def _after(text: Column, scope: str | None) -> Column:
+    """What follows the first place of a scope; null if it has none."""
+    if scope is None:
+        return text
+    at = F.locate(scope, text)
+    return F.when(at > 0, F.substring(text, at + len(scope), F.lit(2147483647)))
 
 
-def json_int(text: Column | str, key: str) -> Column:
-    return F.regexp_extract(as_column(text), rf'"{key}"\s*:\s*(-?\d+)', 1).try_cast("long")
+def json_field(text: Column | str, key: str, scope: str | None = None) -> Column:
+    """The first text value of a key in embedded JSON, decoded where it can be; null if the key isn't there. scope: only after its first place."""
+    found = F.regexp_extract(_after(as_column(text), scope), rf'"{key}"\s*:\s*("(?:[^"\\]++|\\.)*+")', 1)
+    raw = F.substring(found, 2, F.length(found) - 2)
+    return F.when(found != "", F.coalesce(F.from_json(F.concat(F.lit('{"v":'), found, F.lit("}")), "v string")["v"], raw))
+
+
+def json_int(text: Column | str, key: str, scope: str | None = None) -> Column:
+    """The first whole number of a key in embedded JSON; null if there is none."""
+    return F.regexp_extract(_after(as_column(text), scope), rf'"{key}"\s*:\s*(\d+)', 1).try_cast("long")
 
 
 def engagement(*counts: Column | str) -> Column:

@@ -122,22 +122,11 @@ def blocked_pages(spark, d):
     return p.select("page_id", urls.is_login_wall("html").alias("login"), urls.is_captcha("html").alias("captcha"))
 
 
-@query("x26_json_fields", r"""select event_id, nullif(regexp_extract(props, '"[a-z_]+"\s*:\s*(-?\d+)', 1), '') as first from events""")
-def json_fields(spark, d):
-    return table(spark, d, "events").select("event_id", F.nullif(F.regexp_extract("props", r'"[a-z_]+"\s*:\s*(-?\d+)', 1), F.lit("")).alias("first"))
-
-
 @query("x28_page_titles", r"select page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title from pages")
 def page_titles(spark, d):
     return html.page_metadata(table(spark, d, "pages")).select("page_id", "title")
 
 
-@query("x29_reduced_pages")
-def reduced_pages(spark, d):
-    """Lazy patterns across tags differ between engines; the tests compare cases."""
-    return table(spark, d, "pages").select("page_id", F.length(html.reduced("html", 1000)).alias("chars"))
-
-
 @query("s5_page_blocks")
 def page_blocks(spark, d):
     """Blocks of text of raw pages, parsed in tasks."""
