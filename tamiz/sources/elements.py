@@ -191,36 +191,41 @@ def nearest(comments: DataFrame, posts: DataFrame) -> DataFrame:
 # Posts in embedded JSON
 
 MESSAGE = re.compile(r'"message"\s*:\s*\{\s*"text"\s*:\s*"((?:[^"\\]|\\.){10,2000}?)"', re.DOTALL)
-SCRIPT = re.compile(r"<script\b[^>]*>(.*?)</script\s*>", re.DOTALL | re.IGNORECASE)
+SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 FAR = 200_000
 FOUND = "struct<at:int,raw:string,object:string>"
 
 
-def depths(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of braces, sum of depth after each, whether it opens) of a text of JSON; braces within its strings don't count."""
+def braces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of braces, whether each opens, places of quotes) of a text of JSON. Quotes that are escaped don't count."""
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     place = np.arange(len(chars))
-    slash = chars == 92
     # A quote after an odd run of backslashes is part of a string.
-    before = np.maximum.accumulate(np.where(slash, -1, place)) if len(chars) else place
-    run = np.r_[0, (place - before)[:-1]] if len(chars) else place
-    quotes = (chars == 34) & (run % 2 == 0)
-    outside = (np.cumsum(quotes) - quotes) % 2 == 0
-    at = np.flatnonzero(outside & ((chars == 123) | (chars == 125)))
-    opens = chars[at] == 123
-    return at, np.cumsum(np.where(opens, 1, -1)), opens
+    solid = np.maximum.accumulate(np.where(chars == 92, -1, place)) if len(chars) else place
+    run = np.r_[0, (place - solid)[:-1]] if len(chars) else place
+    quotes = np.flatnonzero((chars == 34) & (run % 2 == 0))
+    at = np.flatnonzero((chars == 123) | (chars == 125))
+    return at, chars[at] == 123, quotes
 
 
 def around(text: str, places: list[int], far: int = FAR) -> list[tuple[int, int] | None]:
-    """For each place the innermost braces around it, as [from, to); None where they don't open within `far` characters before, or never close.
+    """For each place outside of strings the innermost braces around it, as [from, to); None where they don't open within `far` characters before, or never close.
 
-    At the place the depth is that after the last brace before it. The object there begins at the last brace that opened to
-    this depth, and ends at the next one that closes from it.
+    Braces with an odd number of quotes between them and the place are within a string. Among the others, at the place the
+    depth is the sum of those before it; the object there begins at the last brace that opened to this depth, and ends at the
+    next one that closes from it. So quotes that have no partner, before the object, do no harm.
     """
-    at, depth, opens = depths(text)
-    level = np.where(opens, depth, depth + 1)
+    every, opening, quotes = braces(text)
+    odd = np.searchsorted(quotes, every) % 2
     out: list[tuple[int, int] | None] = []
+    levels = {}
     for p in places:
+        side = int(np.searchsorted(quotes, p)) % 2
+        if side not in levels:
+            at, opens = every[odd == side], opening[odd == side]
+            depth = np.cumsum(np.where(opens, 1, -1))
+            levels[side] = at, opens, depth, np.where(opens, depth, depth + 1)
+        at, opens, depth, level = levels[side]
         k = int(np.searchsorted(at, p))
         d = int(depth[k - 1]) if k else 0
         starts = np.flatnonzero(opens[:k] & (level[:k] == d))
