@@ -162,3 +162,65 @@ def drill_down(vote: DataFrame) -> DataFrame:
     n = vote.groupBy(F.col("categoria").alias("_c"), F.col("dimension").alias("_d")).agg(F.count("*").alias("_n"))
     frame = vote.sparkSession.createDataFrame([(c, d) for c, ds in DIMENSIONS.items() for d in ds], "categoria string, dimension string")
     return frame.join(n, (F.col("categoria") == F.col("_c")) & (F.col("dimension") == F.col("_d")), "left").select("categoria", "dimension", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+# All rules at once
+
+CATEGORY, DIMENSION, GRID, PAGE, MONTH = "frecuencia_categoria", "frecuencia_subdimension", "cruce_subdimension", "cruce_pagina", "cruce_mes"
+#: Sections in order, each with the columns that its rows and its columns are by.
+SECTIONS = {CATEGORY: ("categoria", None), DIMENSION: ("dimension", None), GRID: ("categoria", "dimension"), PAGE: ("categoria", "pagina"), MONTH: ("categoria", "mes")}
+NO_PAGE, NO_MONTH = "Sin página", "Sin fecha"
+
+
+def placed(vote: DataFrame, posts: DataFrame, pages: DataFrame, month: Column) -> DataFrame:
+    """categoria, dimension, pagina and mes of every vote. month: expression over the posts' columns."""
+    t = pages.select(F.col("id").alias("_g"), "title")
+    p = posts.select(F.col("id").alias("_p"), F.col("page_id").alias("_page"), month.alias("_m")).join(t, F.col("_page") == F.col("_g"), "left")
+    return vote.join(p, F.coalesce("post_id", "content_id") == F.col("_p"), "left").select("categoria", "dimension", F.coalesce("title", "_page", F.lit(NO_PAGE)).alias("pagina"), F.coalesce("_m", F.lit(NO_MONTH)).alias("mes"))
+
+
+def section_counts(vote: DataFrame) -> DataFrame:
+    """seccion, fila, columna and n of all sections of votes(categoria, dimension, pagina, mes), in one pass over the votes.
+
+    Every vote becomes a row for each section and is counted before anything moves. Votes without a sub-dimension count
+    in no section by it.
+    """
+    one = lambda name, row, col: F.struct(F.lit(name).alias("seccion"), F.col(row).alias("fila"), (F.col(col) if col else F.lit(None).cast("string")).alias("columna"), (F.lit(True) if "dimension" not in (row, col) else F.col("dimension").isNotNull()).alias("counts"))
+    rows = vote.select(F.explode(F.array(*[one(name, row, col) for name, (row, col) in SECTIONS.items()])).alias("s")).where("s.counts")
+    return rows.groupBy("s.seccion", "s.fila", "s.columna").agg(F.count("*").alias("n"))
+
+
+def all_rules(vote: DataFrame) -> DataFrame:
+    """seccion, fila, columna, n, pct, pct_acumulado and rango: frequencies and contingency tables together.
+
+    Frequencies and the fixed grid have zeros too. pct is a value's share of its frequency table, or a cell's of its column.
+    The windows are over counts, not votes: a frequency table has as many rows as the taxonomy, a cross table as its column has categories.
+    """
+    counts = section_counts(vote)
+    frame = [(CATEGORY, c, None, i) for i, c in enumerate(CODES)] + [(DIMENSION, d, None, i) for i, d in enumerate(ALL_DIMENSIONS)] + [(GRID, c, d, 0) for c in CODES for d in ALL_DIMENSIONS]
+    full = vote.sparkSession.createDataFrame(frame, "_s string, _f string, _c string, pos int")
+    fixed = full.join(counts, (F.col("_s") == F.col("seccion")) & (F.col("_f") == F.col("fila")) & F.col("_c").eqNullSafe(F.col("columna")), "left").select(F.col("_s").alias("seccion"), F.col("_f").alias("fila"), F.col("_c").alias("columna"), "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    cells = fixed.unionByName(counts.where(F.col("seccion").isin(PAGE, MONTH)).withColumn("pos", F.lit(0)))
+    ranked = F.col("seccion").isin(CATEGORY, DIMENSION)
+    cells = cells.withColumn("_p", percent(F.col("n"), F.sum("n").over(Window.partitionBy("seccion", "columna"))))
+    w = Window.partitionBy("seccion", "columna").orderBy(F.desc("n"), "pos", "fila")
+    return cells.select("seccion", "fila", "columna", "n", F.round("_p", 2).alias("pct"), F.when(ranked, F.round(F.sum("_p").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2)).alias("pct_acumulado"), F.when(ranked, F.row_number().over(w)).alias("rango"))
+
+
+def snapshot(analysis: DataFrame, feedback: DataFrame, vote: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """seccion and fila (JSON) of every rule's result, for one file: missing values and codes, frequencies, modes, cross tables, the alert, reliability.
+
+    vote: as placed gives it. rules: as all_rules gives them, where they are stored already.
+    """
+    r = all_rules(vote) if rules is None else rules
+    row = lambda df, name: df.select(F.lit(name).alias("seccion"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("fila"))
+    tables = r.select("seccion", F.to_json(F.struct("fila", "columna", "n", "pct", "pct_acumulado", "rango"), {"ignoreNullFields": "false"}).alias("fila"))
+    top = F.max("n").over(Window.partitionBy("seccion"))
+    modes_ = r.where(F.col("seccion").isin(CATEGORY, DIMENSION)).withColumn("_t", top).where("n = _t and n > 0").select(F.concat(F.lit("moda_"), F.regexp_replace("seccion", "^frecuencia_", "")).alias("seccion"), F.to_json(F.struct(F.col("fila").alias("moda"), "n")).alias("fila"))
+    matrix = reliability(confusion(feedback, analysis))
+    return (row(missing_values(analysis), "valores_perdidos").unionByName(row(missing_codes(analysis), "codigos_exclusion")).unionByName(tables).unionByName(modes_).unionByName(row(matrix, "confiabilidad")))
+
+
+def votes_of_category(vote: DataFrame, code: str) -> DataFrame:
+    """One row: the number of votes of one category."""
+    return vote.agg(F.count_if(F.col("categoria") == code).alias("n"))
