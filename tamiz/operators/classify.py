@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -95,18 +96,21 @@ def keyword_labels(text: Column | str, most: int = MAX_LABELS, buckets: list[tup
 
 
 def ask(model: Callable[[pd.Series], pd.Series], text: Column) -> Column:
-    """The model's reply to every text, batch by batch; null for a null text, which the model never sees, and for a whole batch at which the model fails."""
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """struct(reply, seconds) of the model for every text, batch by batch; null for a null text, which the model never sees, and a null reply for a whole batch at which the model fails. seconds: the batch's time over its texts."""
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, given = pd.Series([None] * len(batch), dtype=object), batch.notna()
+            given = batch.notna()
+            out = pd.DataFrame({"reply": pd.Series([None] * len(batch), dtype=object), "seconds": pd.Series([None] * len(batch), dtype="Float64")})
             if given.any():
+                began = time.monotonic()
                 try:
-                    out[given] = list(model(batch[given].reset_index(drop=True)))
+                    out.loc[given, "reply"] = list(model(batch[given].reset_index(drop=True)))
                 except Exception:  # whatever an outside model raises: its rows have no reply, and keyword labels stand in
                     logging.getLogger(__name__).exception("the model failed on %d texts", int(given.sum()))
+                out.loc[given, "seconds"] = (time.monotonic() - began) / int(given.sum())
             yield out
 
-    return F.pandas_udf(run, "string").asNondeterministic()(text)
+    return F.pandas_udf(run, "reply string, seconds double").asNondeterministic()(text)
 
 
 def as_labels(found: Column, text: Column) -> Column:
@@ -119,7 +123,7 @@ def as_labels(found: Column, text: Column) -> Column:
 
 
 def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None = None, text: str = "text", reply: str | None = None, patterns: list[tuple[str, str]] = PATTERNS, buckets: list[tuple] = BUCKETS) -> DataFrame:
-    """content with tiene_violencia, severidad_global, labels, exclusion_label, exclusion_codigo, exclusion_justificacion, error.
+    """content with tiene_violencia, severidad_global, labels, exclusion_label, exclusion_codigo, exclusion_justificacion, error and seconds, the time a model took.
 
     A blank text has no label and no exclusion. What the cascade excludes reaches no model. The rest goes to the model
     (texts of a batch to its replies, null where it has none), or has its reply in a column; replies are read as in
@@ -134,7 +138,10 @@ def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None
     if model is None and reply is None:
         rows = rows.withColumns({"error": F.lit(None).cast("string"), "labels": as_labels(keyword_labels("_open", buckets=buckets), t)})
     else:
-        rows = rows.withColumn("_reply", F.when(F.col("_open").isNotNull(), F.col(reply)) if model is None else ask(model, F.col("_open")))
+        if model is None:
+            rows = rows.withColumn("_reply", F.when(F.col("_open").isNotNull(), F.col(reply)))
+        else:
+            rows = rows.withColumn("_asked", ask(model, F.col("_open"))).withColumns({"_reply": F.col("_asked.reply"), "_seconds": F.col("_asked.seconds")})
         rows = classifications(rows, "_reply").drop("rescue")
         for c in ("tiene_violencia", "severidad_global", "labels", "exclusion_label", "exclusion_codigo", "exclusion_justificacion", "error"):
             rows = rows.withColumnRenamed(c, f"_r_{c}")
@@ -150,4 +157,5 @@ def classify(content: DataFrame, model: Callable[[pd.Series], pd.Series] | None
         *content.columns, F.when(F.coalesce(of_reply("tiene_violencia").cast("boolean"), F.size("labels") > 0), "true").otherwise("false").alias("tiene_violencia"),
         F.coalesce(of_reply("severidad_global").cast("string"), highest_severity(severities)).alias("severidad_global"), "labels",
         F.coalesce(F.when(F.col("_code").isNotNull(), JUNK), of_reply("exclusion_label").cast("string")).alias("exclusion_label"),
-        F.coalesce("_code", of_reply("exclusion_codigo").cast("string")).alias("exclusion_codigo"), of_reply("exclusion_justificacion").cast("string").alias("exclusion_justificacion"), "error")
+        F.coalesce("_code", of_reply("exclusion_codigo").cast("string")).alias("exclusion_codigo"), of_reply("exclusion_justificacion").cast("string").alias("exclusion_justificacion"), "error",
+        (F.col("_seconds") if "_seconds" in rows.columns else F.lit(None).cast("double")).alias("seconds"))

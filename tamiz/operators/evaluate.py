@@ -5,6 +5,8 @@ Both sides are rows (content_id, categoria, dimension); ids that have no label a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,3 +67,43 @@ def label_histogram(items: DataFrame) -> DataFrame:
     """How many items have how many labels, on each side."""
     side = lambda c, s: items.groupBy(F.col(c).alias("n_labels")).agg(F.count("*").alias("items")).withColumn("side", F.lit(s))
     return side("n_gt", "ground_truth").unionByName(side("n_pred", "predicted"))
+
+
+# Evaluation of a classifier that runs in this job
+
+
+def category_of(orden: Column, codes: list[str]) -> Column:
+    """A category's code by its ordinal, from 1; a made code for others, so that they match nothing."""
+    return F.coalesce(F.try_element_at(F.array(*map(F.lit, codes)), F.when(orden > 0, orden)), F.concat(F.lit("UNKNOWN_"), orden.cast("string")))
+
+
+def live(items: DataFrame, classified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(items to evaluate, predicted labels) of a classifier over items(content_id, text, gt_exclusion).
+
+    classified: content to the same with labels, exclusion_label, error and seconds, as classify.classify gives it. Items
+    without a text are left out of both, as what nobody could classify. What failed stays among the items, with nothing
+    predicted and its error. Store the first result where it is used more than once: it runs the classifier.
+    """
+    rows = classified(items.where(F.coalesce("text", F.lit("")) != ""))
+    kept = rows.select("content_id", "gt_exclusion", F.col("exclusion_label").alias("pred_exclusion"), "error", "seconds", F.transform("labels", lambda x: F.struct(x["categoria"].alias("categoria"), x["dimension"].alias("dimension"))).alias("labels"))
+    return kept, kept.select("content_id", F.explode("labels").alias("l")).select("content_id", "l.categoria", "l.dimension").distinct()
+
+
+def focused(items: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """content_id, match, jaccard, gt and pred (sorted lists), seconds and error of every item that was classified.
+
+    The match is by labels alone: exact, partial, fn, fp, or none where both sides have labels that share none. Each item has one.
+    """
+    lists = lambda df, name: df.groupBy(F.col("content_id").alias("_k" + name)).agg(F.sort_array(F.collect_set(_pair(df))).alias(name))
+    empty = F.array().cast("array<string>")
+    j = items.join(lists(truth, "gt"), F.col("content_id") == F.col("_kgt"), "left").join(lists(predicted, "pred"), F.col("content_id") == F.col("_kpred"), "left")
+    j = j.withColumns({"gt": F.coalesce("gt", empty), "pred": F.coalesce("pred", empty)})
+    both, either = F.size(F.array_intersect("gt", "pred")), F.size(F.array_union("gt", "pred"))
+    match = F.when(both == either, "exact").when(both > 0, "partial").when(F.size("pred") == 0, "fn").when(F.size("gt") == 0, "fp").otherwise("none")
+    return j.select("content_id", match.alias("match"), F.round(F.when(either == 0, 1.0).otherwise(F.try_divide(both.cast("double"), either)), 3).alias("jaccard"), "gt", "pred", "seconds", "error")
+
+
+def focused_summary(per_item_: DataFrame) -> DataFrame:
+    """One row: items, matches of each kind, average similarity, errors, seconds."""
+    n = lambda v: F.count_if(F.col("match") == v).alias(v)
+    return per_item_.agg(F.count("*").alias("n_items"), n("exact"), n("partial"), n("fp"), n("fn"), n("none"), F.round(F.avg("jaccard"), 3).alias("avg_jaccard"), F.count("error").alias("errors"), F.round(F.coalesce(F.sum("seconds"), F.lit(0.0)), 1).alias("seconds"))

@@ -196,11 +196,11 @@ def all_rules(vote: DataFrame) -> DataFrame:
     Frequencies and the fixed grid have zeros too. pct is a value's share of its frequency table, or a cell's of its column.
     The windows are over counts, not votes: a frequency table has as many rows as the taxonomy, a cross table as its column has categories.
     """
-    counts = section_counts(vote)
     frame = [(CATEGORY, c, None, i) for i, c in enumerate(CODES)] + [(DIMENSION, d, None, i) for i, d in enumerate(ALL_DIMENSIONS)] + [(GRID, c, d, 0) for c in CODES for d in ALL_DIMENSIONS]
-    full = vote.sparkSession.createDataFrame(frame, "_s string, _f string, _c string, pos int")
-    fixed = full.join(counts, (F.col("_s") == F.col("seccion")) & (F.col("_f") == F.col("fila")) & F.col("_c").eqNullSafe(F.col("columna")), "left").select(F.col("_s").alias("seccion"), F.col("_f").alias("fila"), F.col("_c").alias("columna"), "pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    cells = fixed.unionByName(counts.where(F.col("seccion").isin(PAGE, MONTH)).withColumn("pos", F.lit(0)))
+    zeros = vote.sparkSession.createDataFrame(frame, "seccion string, fila string, columna string, pos int").withColumn("n", F.lit(0).cast("long"))
+    # The zeros join as rows, so that the counts are read once; what a fixed section's frame hasn't goes.
+    cells = section_counts(vote).withColumn("pos", F.lit(None).cast("int")).unionByName(zeros).groupBy("seccion", "fila", "columna").agg(F.sum("n").alias("n"), F.max("pos").alias("pos"))
+    cells = cells.where(F.col("seccion").isin(PAGE, MONTH) | F.col("pos").isNotNull())
     ranked = F.col("seccion").isin(CATEGORY, DIMENSION)
     cells = cells.withColumn("_p", percent(F.col("n"), F.sum("n").over(Window.partitionBy("seccion", "columna"))))
     w = Window.partitionBy("seccion", "columna").orderBy(F.desc("n"), "pos", "fila")

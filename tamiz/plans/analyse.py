@@ -15,8 +15,9 @@ from .rules_sql import cascade, keyword_hits
 
 #: SQL: documents that have no label yet stand for content without an analysis.
 _OPEN = "open_ as (select doc_id as id, case when doc_id % 3 = 0 then 'comment' else 'post' end as content_type, text as t from documents where doc_id not in (select doc_id from labels))"
-#: SQL: the analysis of each of them: the cascade first, then the reply, and keywords where there is no reply or one that is no object.
-_RESULT = f"""{PARSED}, {_OPEN}, {cascade('open_', 'id')},
+#: SQL: the analysis of each row of open_: the cascade first, then the reply, and keywords where there is no reply or one that is no object.
+def result_sql(rows: str) -> str:
+    return f"""{PARSED}, {rows}, {cascade('open_', 'id')},
 low as (select id, translate(lower(t), '{ACCENTED}', '{PLAIN}') as t from open_), hits as ({keyword_hits('low', 'id')}),
 merged as (select id, categoria, dimension, max(rank) as rank, max(score) as score, min(i) as i from hits group by id, categoria, dimension),
 placed as (select *, row_number() over (partition by id order by rank desc, i) as place from merged),
@@ -28,6 +29,9 @@ case when junk is not null then 'false' when by_rule then case when rule_n > 0 t
 case when junk is not null then '{JUNK}' when by_rule is not true then exclusion_label end as exclusion_label, case when junk is not null then junk when by_rule is not true then exclusion_codigo end as exclusion_codigo from result)"""
 
 
+_RESULT = result_sql(_OPEN)
+
+
 def open_documents(spark, d):
     """Documents as content, with their stored replies, of which those with a label are analysed already."""
     kind = F.when(F.col("doc_id") % 3 == 0, "comment").otherwise("post")

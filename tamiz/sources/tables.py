@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,17 @@ from pyspark.sql import functions as F
 NULL, NEXT = "\x02", "\x01"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: under spark.checkpoint.dir. Only in local mode, a local one where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tamiz-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/tamiz-{uuid.uuid4().hex}"
+
+
 def measured(seen: Observation) -> dict:
     """What was observed; nothing where Spark found the plan to have no rows and left out the measures with it."""
     try:

@@ -1,8 +1,10 @@
 """Operators on hand-made rows, and a registered query of each kind against its SQL."""
 
+import numbers
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def same_as_sql(spark, name, d="/root/testdata/sf0.001"):
 
     def plain(x):
         """Rows as texts; numbers of either engine compare by value."""
-        return sorted(str([None if v is None or v != v else round(float(v), 9) if isinstance(v, float) else str(v) for v in r]) for r in x[cols].astype(object).itertuples(index=False))
+        return sorted(str([None if v is None or v is pd.NA or v != v else round(float(v), 9) if isinstance(v, numbers.Number) and not isinstance(v, bool) else str(v) for v in r]) for r in x[cols].astype(object).itertuples(index=False))
 
     assert plain(a) == plain(b)
 
