@@ -37,7 +37,8 @@ SHORT = 6
 INNER = re.compile(rb"[A-Za-z_][A-Za-z0-9_.~-]*=(?=[^=])")
 BESIDE = rb"(?i:token|secret|passw|pwd|api|key|auth|bearer|credential|private|access)[A-Za-z0-9_-]{0,64}+"
 #: A name and an assignment, then a value up to white space or a quote; in an address up to & or # too.
-PLAIN = re.compile(BESIDE + rb"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}(?P<value>[^\s\"'`=][^\s\"'`]{%d,})" % (SHORT - 1))
+PLAIN = re.compile(BESIDE + rb"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}(?=[^\s\"'`=][^\s\"'`]{%d})" % (SHORT - 1))
+VALUE, IN_QUERY = re.compile(rb"[^\s\"'`]*"), re.compile(rb"[^\s\"'`&#]*")
 #: A word, at most a few others or an assignment, then a quoted value.
 QUOTED = re.compile(BESIDE + rb"[\"']?[^\"'`\n]{0,40}?(?<![A-Za-z0-9])(?P<quote>[\"'`])(?P<value>[^\"'`\n]{%d,}|(?:(?!(?P=quote))[^\n]){%d,})(?P=quote)(?![A-Za-z0-9])" % (SHORT, SHORT))
 IN_ADDRESS = re.compile(rb"[?&][A-Za-z0-9_.-]*$")
@@ -60,10 +61,9 @@ def spans(text: bytes) -> list[tuple[int, int]]:
             out.add((m.start() + name.end(), m.end()))
     at = 0
     while m := PLAIN.search(text, at):
-        a, b = m.span("value")
-        if IN_ADDRESS.search(text[max(0, m.start() - 60):m.start()]):
-            b = a + len(re.match(rb"[^&#]*", text[a:b])[0])
-        at = b
+        a = m.end()
+        # Only the value itself is read: an address with many parts is walked once.
+        at = b = (IN_QUERY if IN_ADDRESS.search(text[max(0, m.start() - 60):m.start()]) else VALUE).match(text, a).end()
         b = a + len(text[a:b].rstrip(b",;)]}>."))
         name = INNER.match(text[a:b])
         out |= {(i, b) for i in (a, a + name.end() if name else a) if b - i >= SHORT}
