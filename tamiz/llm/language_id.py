@@ -6,6 +6,9 @@ address suffix weigh by how often they are right, counted in a grouped aggregati
 smoothed hierarchically: all rows, then the registered domain, then the host, each level's counts shrunk to the level
 above. What the counts come from is the text evidence alone, so that no evidence is used twice.
 
+The model has one row of 65,536 numbers for each declared language that has rows; it goes to every worker, at 256 kB a language.
+Of languages equally likely the first by name is given.
+
 A document is rejected if the background is likelier than its language by more than a margin, or no language reaches
 `least` of the posterior.
 
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, read, stored, texts_of
@@ -67,15 +70,15 @@ def fit_text(docs: DataFrame, declared: str, most_rows: int = 2000) -> TextModel
     row = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
         for batch in batches:
             data, off = texts_of(batch)
-            for r, name in enumerate(batch.column("tag").to_pylist()):
-                own = sums.setdefault(row[name], np.zeros(BUCKETS, np.int64))
-                own += np.bincount(grams(data[off[r]:off[r + 1]]), minlength=BUCKETS)
-        for lang, own in sums.items():
-            bucket = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), lang, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(own[bucket])], ["lang", "bucket", "n"])
+            lang = np.array([row[name] for name in batch.column("tag").to_pylist()], np.int64)
+            for i, j in blocks(off, 1 << 20):
+                g, at = grams(data[off[i]:off[j]]), off[i:j + 1] - off[i]
+                doc = np.repeat(np.arange(j - i), np.diff(at))[: len(g)]
+                inside = np.arange(len(g)) + GRAM <= at[doc + 1]
+                code, n = np.unique(lang[i + doc[inside]] * BUCKETS + g[inside], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((code // BUCKETS).astype(np.int32)), pa.array((code % BUCKETS).astype(np.int32)), pa.array(n)], ["lang", "bucket", "n"])
 
     got = (chosen.select("text", F.col(declared).alias("tag")).mapInArrow(count, "lang int, bucket int, n long")
            .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
@@ -108,22 +111,22 @@ def background_frequency(mean: np.ndarray) -> np.ndarray:
 
 
 def text_evidence(docs: DataFrame, model: TextModel, keep: list[str], tempered: float = 60.0) -> DataFrame:
-    """The columns of keep, and ev: for each language the log likelihood over the background.
+    """The columns of keep, and ev: for each language the log likelihood over the background; p: what the text alone makes of the languages.
 
-    It is null for texts without letters, and 0 for texts too short for an n-gram.
+    Both are null for texts without letters; ev is 0 for texts too short for an n-gram.
 
     Neighbouring n-grams overlap and words recur: evidence is the mean over n-grams times at most `tempered` of them.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     inner = [f for f in docs.select(*keep).schema.fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner] + ["ev array<double>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in inner] + ["ev array<double>", "p array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(shared.value.scores.T)
         for batch in batches:
             data, off = texts_of(batch)
-            out: list = []
+            out, alone = [], []
             for i, j in blocks(off, 1 << 20):
                 part, at = data[off[i]:off[j]], off[i:j + 1] - off[i]
                 letters = np.r_[0, np.cumsum(LETTER[part])]
@@ -136,17 +139,32 @@ def text_evidence(docs: DataFrame, model: TextModel, keep: list[str], tempered:
                 place, doc = place[fine], doc[fine]
                 n = np.bincount(doc, minlength=j - i)
                 sums = np.stack([np.bincount(doc, table[g[place], k], j - i) for k in range(table.shape[1])], 1)
-                out += [(s / max(c, 1) * min(c, tempered)).tolist() if own else None for s, c, own in zip(sums, n.tolist(), some, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.list_(pa.float64()))], [*keep, "ev"])
+                ev = sums / np.maximum(n, 1)[:, None] * np.minimum(n, tempered)[:, None]
+                out.append(lists(ev, some))
+                alone.append(lists(softmax(ev), some))
+            kind = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.concat_arrays(x) if x else pa.array([], kind) for x in (out, alone))], [*keep, "ev", "p"])
 
     return docs.select("text", *keep).mapInArrow(run, schema)
 
 
-def _softmax(scores: Column, n: int) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+def softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists; null where some says no."""
+    at = np.r_[0, np.cumsum(np.where(some, rows.shape[1], 0))].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(rows[some].reshape(-1)), mask=pa.array(~some))
+
+
+def dense(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows x n, zero where null; which aren't null) of a column of lists."""
+    some = column.is_valid().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), n))
+    out[some] = column.filter(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out, some
 
 
 def identify(docs: DataFrame, declared: str | None = "lang", suffix: str | None = None, host: str | None = None, domain: str | None = None,
@@ -160,51 +178,56 @@ def identify(docs: DataFrame, declared: str | None = "lang", suffix: str | None
     n = len(model.languages)
     if not n:
         return base.select("doc_id", "declared", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"))
-    names = F.array(*map(F.lit, model.languages))
+    names = np.array(model.languages, object)
     seen = stored(text_evidence(base, model, ["doc_id", "declared", "suffix", "host", "domain"]))
-    p = seen.withColumn("p", _softmax(F.col("ev"), n))
-    zeros = F.array(*[F.lit(0.0)] * n)
-    total = [F.sum(F.element_at("p", k + 1)).alias(f"s{k}") for k in range(n)]
-    sums = F.array(*[F.col(f"s{k}") for k in range(n)])
+    known = seen.where("p is not null")
 
     def per(column: str) -> DataFrame:
-        """Expected number of rows of each language for each value of a column, by grouped sums."""
-        return p.where(F.col(column).isNotNull() & F.col("p").isNotNull()).groupBy(column).agg(*total).select(F.col(column).alias(f"k_{column}"), sums.alias(f"n_{column}"))
+        """Expected number of rows of each language for each value of a column: sums as rows, then one list a value."""
+        sums = known.where(F.col(column).isNotNull()).select(column, F.posexplode("p").alias("k", "x")).groupBy(column, "k").agg(F.sum("x").alias("x"))
+        return sums.groupBy(F.col(column).alias(f"k_{column}")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias(f"n_{column}"))
 
-    everything = p.where("p is not null").agg(*total).first()
-    overall = np.array([everything[k] or 0.0 for k in range(n)])
+    overall = np.zeros(n)
+    for r in known.select(F.posexplode("p").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():
+        overall[r["k"]] = r["x"]
     prior = (overall + 1.0) / (overall.sum() + n)
-    flat = F.array(*[F.lit(float(x)) for x in prior])
-    size = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-
-    def shrunk(counts: Column, parent: Column) -> Column:
-        """Counts plus `strength` rows of the level above, without this row's own: its text is evidence already."""
-        own = F.zip_with(F.coalesce(counts, zeros), F.coalesce(F.col("p"), zeros), lambda c, q: F.greatest(F.lit(0.0), c - F.when(counts.isNotNull(), q).otherwise(0.0)))
-        whole = size(own)
-        return F.zip_with(own, parent, lambda c, q: (c + strength * q) / (whole + strength))
-
     # Values of a column may repeat without bound: the joins are on grouped sums, and Spark may split them.
-    row = p
-    for column, there in (("declared", declared), ("suffix", suffix), ("domain", domain), ("host", host)):
-        if there:
-            row = row.join(per(column), F.col(column) == F.col(f"k_{column}"), "left").drop(f"k_{column}")
-    at = flat
-    for column, there in (("domain", domain), ("host", host)):
-        if there:
-            at = shrunk(F.col(f"n_{column}"), at)
-    evidence = F.zip_with("ev", at, lambda e, q: e + F.log(q))
-    for column, there in (("declared", declared), ("suffix", suffix)):
-        if there:
-            # log P(value | language), up to a constant: P(language | value) over the prior.
-            own = F.zip_with(shrunk(F.col(f"n_{column}"), flat), flat, lambda a, b: F.log(a / b))
-            evidence = F.zip_with(evidence, own, lambda e, q: e + q)
-    row = row.withColumn("post", _softmax(evidence, n)).withColumn("most", F.array_max("post"))
-    best = F.element_at(names, F.array_position("post", F.col("most")).cast("int"))
-    ev_of = F.element_at("ev", F.array_position("post", F.col("most")).cast("int"))
-    text_best = F.element_at(names, F.array_position("ev", F.array_max("ev")).cast("int"))
-    return row.select("doc_id", "declared", F.when(F.col("ev").isNotNull(), best).alias("language"), F.when(F.col("ev").isNotNull(), F.col("most")).alias("posterior"),
-                      F.when(F.col("ev").isNotNull(), text_best).alias("text_language"),
-                      F.coalesce((ev_of > -margin) & (F.col("most") >= least), F.lit(False)).alias("accepted"))
+    row, given = seen, [c for c, there in (("declared", declared), ("suffix", suffix), ("domain", domain), ("host", host)) if there]
+    for column in given:
+        row = row.join(per(column), F.col(column) == F.col(f"k_{column}"), "left").drop(f"k_{column}")
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                ev, some = dense(part.column("ev"), n)
+                p, _ = dense(part.column("p"), n)
+
+                def shrunk(column: str, parent: np.ndarray, part: pa.RecordBatch = part, p: np.ndarray = p) -> np.ndarray:
+                    """Counts plus `strength` rows of the level above, without this row's own: its text is evidence already."""
+                    counts, there = dense(part.column(f"n_{column}"), n)
+                    own = np.maximum(0.0, counts - np.where(there[:, None], p, 0.0))
+                    return (own + strength * parent) / (own.sum(axis=1, keepdims=True) + strength)
+
+                at = np.broadcast_to(prior, ev.shape)
+                for column in ("domain", "host"):
+                    if column in given:
+                        at = shrunk(column, at)
+                evidence = ev + np.log(at)
+                for column in ("declared", "suffix"):
+                    if column in given:
+                        # log P(value | language), up to a constant: P(language | value) over the prior.
+                        evidence += np.log(shrunk(column, prior) / prior)
+                post = softmax(evidence)
+                best = post.argmax(axis=1)  # the first by name of equal ones
+                each = np.arange(len(best))
+                most = post[each, best]
+                fine = some & (ev[each, best] > -margin) & (most >= least)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("declared"), pa.array(np.where(some, names[best], None), pa.string()), pa.array(most, mask=~some), pa.array(np.where(some, names[ev.argmax(axis=1)], None), pa.string()), pa.array(fine)],
+                                                 ["doc_id", "declared", "language", "posterior", "text_language", "accepted"])
+
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return row.select("doc_id", "declared", "ev", "p", *[f"n_{c}" for c in given]).mapInArrow(fuse, f"doc_id {kind}, declared string, language string, posterior double, text_language string, accepted boolean")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
