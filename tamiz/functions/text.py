@@ -260,8 +260,7 @@ def reply_body(text: Column | str) -> Column:
     for tag in REPLY_WRAPPERS:
         t = F.regexp_replace(t, f"(?is)<{tag}>.*?</{tag}>", "")
     t = F.regexp_replace(t, "</?[^>]+>", "")
-    braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    return trimmed(F.when(braces != "", braces).otherwise(t))
+    return bound(t, lambda x: bound(F.regexp_extract(x, r"(?s)(\{.*\})", 1), lambda braces: trimmed(F.when(braces != "", braces).otherwise(x))))
 
 
 def _after(text: Column, scope: str | None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.labels import dimension, primary_label, severity
-from tamiz.functions.text import as_column, bound, trimmed
+from tamiz.functions.text import as_column, as_markers, as_truth, bound, trimmed
 from tamiz.functions.vocabulary import CODES, DIMENSIONS, MAX_LABELS, NONE
 
 LABEL = "struct<categoria:string,dimension:string,severidad:string,justificacion:string>"
@@ -26,6 +26,10 @@ def valid_pair(code: Column | str, dim: Column | str) -> Column:
     return (d == "") | (~c.isin("", NONE) & own)
 
 
+def _key(x: Column) -> Column:
+    return F.concat_ws("\x01", x["categoria"], F.coalesce(x["dimension"], F.lit("\x02")))
+
+
 def form_labels(labels: Column | str, most: int = MAX_LABELS) -> Column:
     """Labels of a form made canonical: unknown categories go, of equal (category, sub-dimension) the first stays, in the order given, `most` at most. Null gives an empty list."""
     def clean(x: Column) -> Column:
@@ -33,17 +37,37 @@ def form_labels(labels: Column | str, most: int = MAX_LABELS) -> Column:
             y["c"].alias("categoria"), F.when(y["d"].isNotNull(), dimension(y["c"], y["d"])).alias("dimension"), severity(x["severidad"]).alias("severidad"),
             F.coalesce(x["justificacion"], F.lit("")).alias("justificacion")))
 
-    def key(x: Column) -> Column:
-        return F.concat_ws("\x01", x["categoria"], F.coalesce(x["dimension"], F.lit("\x02")))
-
     def firsts(known: Column) -> Column:
-        keys = F.transform(known, key)
-        return F.slice(F.filter(known, lambda x, i: F.array_position(keys, key(x)) == i + 1), 1, most)
+        keys = F.transform(known, _key)
+        return F.slice(F.filter(known, lambda x, i: F.array_position(keys, _key(x)) == i + 1), 1, most)
 
     every = F.transform(F.coalesce(as_column(labels), F.array().cast(f"array<{LABEL}>")), clean)
     return bound(F.filter(every, lambda x: F.coalesce(x["categoria"].isin(*CODES, NONE), F.lit(False))), firsts)
 
 
+FULL_LABEL = "struct<categoria:string,dimension:string,severidad:string,justificacion:string,evidencia:string,regla_disparada:string,marcadores_detectados:string,confianza:double,score_ajuste:double,es_falso_positivo_probable:string>"
+
+
+def full_form_labels(labels: Column | str, most: int = MAX_LABELS) -> Column:
+    """As form_labels, with all fields of FULL_LABEL: evidence, the rule, the markers (a list, or text as JSON or parted by commas) as a list, the flag of a likely false positive as boolean.
+
+    labels: structs with these fields, marcadores_detectados and es_falso_positivo_probable as text.
+    """
+    more = lambda x: (F.coalesce(x["evidencia"], F.lit("")).alias("evidencia"), _given(x["regla_disparada"]).alias("regla_disparada"), F.transform(as_markers(x["marcadores_detectados"]), lambda m: trimmed(m)).alias("marcadores_detectados"),
+                      x["confianza"].alias("confianza"), x["score_ajuste"].alias("score_ajuste"), as_truth(x["es_falso_positivo_probable"]).alias("es_falso_positivo_probable"))
+
+    def clean(x: Column) -> Column:
+        return bound(F.struct(_given(x["categoria"]).alias("c"), _given(x["dimension"]).alias("d")), lambda y: F.struct(
+            y["c"].alias("categoria"), F.when(y["d"].isNotNull(), dimension(y["c"], y["d"])).alias("dimension"), severity(x["severidad"]).alias("severidad"), F.coalesce(x["justificacion"], F.lit("")).alias("justificacion"), *more(x)))
+
+    def firsts(known: Column) -> Column:
+        keys = F.transform(known, _key)
+        return F.slice(F.filter(known, lambda x, i: F.array_position(keys, _key(x)) == i + 1), 1, most)
+
+    every = F.transform(F.coalesce(as_column(labels), F.array().cast(f"array<{FULL_LABEL}>")), clean)
+    return bound(F.filter(every, lambda x: F.coalesce(x["categoria"].isin(*CODES, NONE), F.lit(False))), firsts)
+
+
 def payload(reviews: DataFrame) -> DataFrame:
     """The reviews to store: analysis_result_id, agrees ('true' or 'false'), reason, reviewer, corrected_categoria, corrected_dimension, corrected_justificacion, corrected_labels.
 

@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.labels import primary_label
-from tamiz.functions.text import hashed_id, trimmed
+from tamiz.functions.text import hashed_id, plain_markdown, readable, trimmed
 from tamiz.functions.vocabulary import NONE
 from tamiz.sources.tables import Partitioned, bucket_of
 
+from .chunks import chunk_list
 from .vectors import search
 
 #: Texts of a batch to their vectors, in order.
@@ -94,6 +95,22 @@ def find(documents: DataFrame, queries: DataFrame, provider: Provider, k: int, w
     return near.join(own, F.col("vec_id") == F.col("id")).select("query_id", "id", "source", "text", "metadata", "distance", "rank")
 
 
+def ingest(files: DataFrame, collection: Collection, replace: bool = False, tags: str = "", size: int = 500, overlap: int = 50) -> DataFrame:
+    """Chunks of files(source, content) into a collection; source, chunks and error ('sin chunks extraíbles') of every file.
+
+    Markdown (by the name's ending) loses its marks. replace: what a file's source had goes. tags: parted by commas, kept in the
+    metadata with format, chunk_index and total_chunks.
+    """
+    text = F.when(F.lower("source").endswith(".md"), plain_markdown("content")).otherwise(readable("content"))
+    pieces = files.select("source", F.posexplode(chunk_list(text, size, overlap)).alias("chunk_index", "text"))
+    totals = pieces.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("_n"))
+    named = ",".join(t for t in (x.strip() for x in tags.split(",")) if t)
+    meta = {"source": F.col("source"), "format": F.when(F.lower("source").endswith(".md"), "md").otherwise("txt"), "chunk_index": F.col("chunk_index").cast("string"), "total_chunks": F.col("_n").cast("string"), **({"tags": F.lit(named)} if named else {})}
+    rows = pieces.join(totals, F.col("source") == F.col("_s")).select("source", "chunk_index", "text", F.create_map(*[x for k, v in meta.items() for x in (F.lit(k), v)]).alias("metadata"))
+    (collection.replace_sources if replace else collection.add)(rows)
+    return files.select("source").distinct().join(totals, F.col("source") == F.col("_s"), "left").select("source", F.coalesce("_n", F.lit(0)).alias("chunks"), F.when(F.col("_n").isNull(), "sin chunks extraíbles").alias("error"))
+
+
 # Corrections
 
 

@@ -25,7 +25,13 @@ def knowledge(spark: SparkSession, path: str) -> DataFrame:
 
 
 def few_shots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("multiLine", True).json(path)
+    """The examples of JSON files, as operators.fewshots.examples gives them; ValueError if there are none."""
+    from tamiz.operators.fewshots import examples
+
+    out = examples(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    if not out.limit(1).count():
+        raise ValueError(f"{path} declares no examples")
+    return out
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
