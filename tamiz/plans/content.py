@@ -242,7 +242,11 @@ def classified(spark, d):
     return out.select("doc_id", "exclusion_codigo", "tiene_violencia", F.size("labels").alias("n_labels"))
 
 
-@query("flagship_frequency_of_documents")
+@query("flagship_frequency_of_documents", f"""
+with s as (select doc_id, {_KEYED} as t from documents), {cascade('s', 'doc_id')}, t as (select doc_id, translate(lower(t), '{ACCENTED}', '{PLAIN}') as t from s), h as ({keyword_hits('t', 'doc_id')}),
+g as (select doc_id, categoria, dimension, max(rank) as rank, min(i) as i from h group by 1, 2, 3), o as (select *, row_number() over (partition by doc_id order by rank desc, i) as place from g),
+c as (select m.categoria as value, m.pos, (select count(*) from o join casc on casc.doc_id = o.doc_id where casc.codigo is null and o.place <= 5 and o.categoria = m.categoria) as n from m_categories m), p as (select *, 100.0 * n / nullif(sum(n) over (), 0) as x from c)
+select value, n, round(coalesce(x, 0), 2) as pct, round(coalesce(sum(x) over (order by n desc, pos rows unbounded preceding), 0), 2) as pct_acumulado, cast(row_number() over (order by n desc, pos) as integer) as rango from p""")
 def flagship(spark, d):
     """Documents with their labels, junk tagged and left out, frequency of the categories that keywords give."""
     rows = classify.classify(documents(spark, d).select("doc_id", F.expr(_KEYED).alias("text")))
