@@ -22,9 +22,14 @@ def nested(parents: DataFrame, children: DataFrame, key: str, child_key: str, or
 
     The children group before the join, so that only one row a parent meets it.
     """
-    lists = children.groupBy(F.col(child_key).alias("_k")).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias(into))
-    item = F.transform(F.col(into), lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return parents.join(lists, F.col(key) == F.col("_k"), "left").withColumn(into, F.coalesce(item, F.array().cast(_list_type(children, fields)))).drop("_k")
+    lists = lists_of(children, child_key, order, fields, into).withColumnRenamed(child_key, "_k")
+    return parents.join(lists, F.col(key) == F.col("_k"), "left").withColumn(into, F.coalesce(into, F.array().cast(_list_type(children, fields)))).drop("_k")
+
+
+def lists_of(children: DataFrame, key: str, order: list[str], fields: list[str], into: str) -> DataFrame:
+    """key and the ordered list of the children of every key that has any."""
+    lists = children.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *[f for f in fields if f not in order]))).alias(into))
+    return lists.select(key, F.transform(into, lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(into))
 
 
 def _list_type(df: DataFrame, fields: list[str]) -> str:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamiz.functions.labels import is_violent_label, severity_rank
-from tamiz.functions.vocabulary import NONE
+from tamiz.functions.vocabulary import COMMON, NONE, SAFEGUARD
 
 from .relational import first_of
 from .stats import is_excluded, percent
@@ -111,3 +111,31 @@ def pending_count(analysis: DataFrame, feedback: DataFrame) -> DataFrame:
     open_ = analysis.where(F.col("tiene_violencia").isin("true", "false") & ~is_excluded())
     reviewed = feedback.select(F.col("analysis_result_id").alias("id"))
     return open_.join(reviewed, "id", "left_anti").agg(F.count("*").alias("pending"))
+
+
+def promoted(analysis: DataFrame, labels: DataFrame, feedback: DataFrame, feedback_labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(analysis with applied_feedback, labels, feedback left) after corrections have become the analyses themselves.
+
+    analysis: id, categoria, dimension, severidad, tiene_violencia, exclusion_label, exclusion_codigo and more, which stays. labels and feedback_labels:
+    orden, categoria, dimension, severidad by analysis_result_id, and by pos. feedback: pos, analysis_result_id, agrees,
+    corrected_categoria, corrected_dimension. Of several disagreements with one analysis the first given is applied. Its list
+    of labels counts, or else its flat correction as one label; the most severe gives the flat fields. Any category of
+    violence but the safeguard makes a row violent; common violence is an exclusion, and no other exclusion stays.
+    Promoted reviews go, with those that came after them for the same analysis.
+    """
+    first = first_of(feedback.where((F.coalesce("agrees", F.lit("")) != "true") & F.col("analysis_result_id").isNotNull()), ["analysis_result_id"], [F.asc("pos")])
+    chosen = first.join(analysis.select(F.col("id").alias("_id")), F.col("analysis_result_id") == F.col("_id"), "left_semi").select(F.col("pos").alias("_pos"), F.col("analysis_result_id").alias("_a"), F.col("corrected_categoria").alias("_fc"), F.col("corrected_dimension").alias("_fd"))
+    listed = feedback_labels.join(chosen.select("_pos", "_a"), F.col("pos") == F.col("_pos")).select(F.col("_a").alias("analysis_result_id"), "orden", "categoria", "dimension", "severidad")
+    flat = chosen.join(listed.select(F.col("analysis_result_id").alias("_has")).distinct(), F.col("_a") == F.col("_has"), "left_anti").where("_fc is not null and _fc <> ''")
+    new = listed.unionByName(flat.select(F.col("_a").alias("analysis_result_id"), F.lit(0).alias("orden"), F.col("_fc").alias("categoria"), F.col("_fd").alias("dimension"), F.lit(NONE).alias("severidad")))
+    top = first_of(new, ["analysis_result_id"], [severity_rank("severidad").desc(), F.asc("orden")]).select(F.col("analysis_result_id").alias("_t"), F.col("categoria").alias("_c"), F.col("dimension").alias("_d"), F.col("severidad").alias("_s"))
+    j = analysis.join(chosen, F.col("id") == F.col("_a"), "left").join(top, F.col("id") == F.col("_t"), "left")
+    hit, some = F.col("_a").isNotNull(), F.col("_t").isNotNull()
+    common = some & (F.col("_c") == COMMON)
+    violent = F.coalesce(F.col("_c").startswith("VDG_") & (F.col("_c") != SAFEGUARD), F.lit(False))
+    own = {"categoria": F.when(some, F.col("_c")).otherwise(NONE), "dimension": F.when(some, F.col("_d")).otherwise(F.col("_fd")), "severidad": F.when(some, F.col("_s")).otherwise(NONE),
+           "tiene_violencia": F.when(violent, "true").otherwise("false"), "exclusion_label": F.when(common, COMMON), "exclusion_codigo": F.when(common, "FEEDBACK_PROMOTION")}
+    rows = j.select(*[F.when(hit, own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in analysis.columns], F.col("_pos").alias("applied_feedback"))
+    kept = labels.join(chosen.select(F.col("_a").alias("_k")), F.col("analysis_result_id") == F.col("_k"), "left_anti").select("analysis_result_id", "orden", "categoria", "dimension", "severidad")
+    left = feedback.join(chosen.select(F.col("_a").alias("_k"), "_pos"), (F.col("analysis_result_id") == F.col("_k")) & (F.col("pos") >= F.col("_pos")) & (F.coalesce("agrees", F.lit("")) != "true"), "left_anti")
+    return rows, kept.unionByName(new), left

@@ -51,9 +51,20 @@ def best_similarity(rows: DataFrame, references: DataFrame, most_references: int
     return rows.crossJoin(F.broadcast(references)).groupBy("vec_id").agg(F.max(cosine("embedding", "reference", True)).alias("best"), F.avg(cosine("embedding", "reference", True)).alias("mean"))
 
 
-def above(rows: DataFrame, score: str = "score", threshold: float = 0.7) -> DataFrame:
-    """Rows at or above the threshold, best first by rank."""
-    return rows.where(F.col(score) >= threshold).withColumn("rank", F.rank().over(Window.orderBy(F.desc(score))))
+def above(rows: DataFrame, score: str = "score", threshold: float = 0.7, parts: int = 200) -> DataFrame:
+    """Rows at or above the threshold with their rank, equal scores with equal ranks.
+
+    No window holds all rows: scores are cut into about `parts` ranges at fixed bounds, ranked within them, and moved on by
+    the rows of the higher ranges.
+    """
+    good = rows.where(F.col(score) >= threshold)
+    bounds = sorted(set(good.agg(F.percentile_approx(score, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []))
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>"), lambda b: b >= F.col(score)))
+    ranged = good.withColumn("_r", at)
+    sizes = ranged.groupBy("_r").agg(F.count("*").alias("_n"))  # as many rows as there are ranges
+    before = sizes.select(F.col("_r").alias("_o"), F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = ranged.withColumn("_own", F.rank().over(Window.partitionBy("_r").orderBy(F.desc(score))))
+    return ranked.join(F.broadcast(before), F.col("_r") == F.col("_o")).select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias("rank"))
 
 
 def distinct_texts(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -116,9 +116,11 @@ def point(spark, d):
     return R.where_equal(view(spark, d, "m_analysis"), content_type="post", content_id="d7").select("id", "categoria")
 
 
-@query("r15_label_map", "select analysis_result_id, count(*) as n, min(orden) as first from m_labels group by analysis_result_id")
+@query("r15_label_map", "select analysis_result_id, count(*) as n, min(orden) as first, string_agg(concat(categoria, '/', coalesce(dimension, '-'), '/', severidad), '|' order by orden) as labels from m_labels group by analysis_result_id")
 def label_map(spark, d):
-    return view(spark, d, "m_labels").groupBy("analysis_result_id").agg(F.count("*").alias("n"), F.min("orden").alias("first"))
+    m = R.lists_of(view(spark, d, "m_labels"), "analysis_result_id", ["orden"], ["orden", "categoria", "dimension", "severidad"], "l")
+    flat = F.array_join(F.transform("l", lambda x: F.concat_ws("/", x["categoria"], F.coalesce(x["dimension"], F.lit("-")), x["severidad"])), "|")
+    return m.select("analysis_result_id", F.size("l").cast("long").alias("n"), F.element_at("l", 1)["orden"].alias("first"), flat.alias("labels"))
 
 
 @query("r16_table_counts", """
@@ -194,6 +196,39 @@ def promote(spark, d):
                     F.when(F.col("k").isNull(), F.col("tiene_violencia")).when(violent, "true").otherwise("false").alias("tiene_violencia"))
 
 
+#: SQL: the first disagreement with every analysis, the labels it brings, and the most severe of them.
+_PROMOTED = """fb as (select * from (select *, row_number() over (partition by analysis_result_id order by pos) as k from m_feedback where agrees <> 'true') as x where k = 1 and analysis_result_id in (select id from m_analysis)),
+nl as (select l.analysis_result_id, l.orden, l.categoria, l.dimension, l.severidad from m_labels l join fb on fb.analysis_result_id = l.analysis_result_id where l.analysis_result_id % 2 = 0
+union all select analysis_result_id, 0, corrected_categoria, corrected_dimension, 'ninguna' from fb where corrected_categoria is not null and not (analysis_result_id % 2 = 0 and analysis_result_id in (select analysis_result_id from m_labels))),
+tp as (select *, row_number() over (partition by analysis_result_id order by case severidad when 'alta' then 3 when 'media' then 2 when 'baja' then 1 else 0 end desc, orden) as place from nl)"""
+
+
+def promotion(spark, d):
+    from tamiz.operators.review import promoted
+
+    feedback, labels = view(spark, d, "m_feedback"), view(spark, d, "m_labels")
+    # Every second analysis' reviews bring a list of labels.
+    brought = labels.where("analysis_result_id % 2 = 0").join(feedback.select(F.col("analysis_result_id").alias("_k"), "pos"), F.col("analysis_result_id") == F.col("_k")).select("pos", "orden", "categoria", "dimension", "severidad")
+    return promoted(view(spark, d, "m_analysis"), labels, feedback, brought)
+
+
+@query("r25_promoted_analyses", f"""with {_PROMOTED} select a.id, case when fb.pos is null then a.categoria else coalesce(tp.categoria, 'ninguna') end as categoria, case when fb.pos is null then a.dimension when tp.place is null then fb.corrected_dimension else tp.dimension end as dimension,
+case when fb.pos is null then a.severidad else coalesce(tp.severidad, 'ninguna') end as severidad, case when fb.pos is null then a.tiene_violencia when tp.categoria like 'VDG_%' and tp.categoria <> 'VDG_SALVAGUARDA_FALSO_POSITIVO' then 'true' else 'false' end as tiene_violencia,
+case when fb.pos is null then a.exclusion_label end as exclusion_label, fb.pos as applied_feedback from m_analysis a left join fb on fb.analysis_result_id = a.id left join tp on tp.analysis_result_id = a.id and tp.place = 1""")
+def promoted_analyses(spark, d):
+    return promotion(spark, d)[0].select("id", "categoria", "dimension", "severidad", "tiene_violencia", "exclusion_label", "applied_feedback")
+
+
+@query("r25_promoted_labels", f"with {_PROMOTED} select analysis_result_id, orden, categoria, dimension, severidad from m_labels where analysis_result_id not in (select analysis_result_id from fb) union all select * from nl")
+def promoted_labels(spark, d):
+    return promotion(spark, d)[1]
+
+
+@query("r25_feedback_left", f"with {_PROMOTED} select f.pos from m_feedback f left join fb on fb.analysis_result_id = f.analysis_result_id where fb.pos is null or f.pos < fb.pos or f.agrees = 'true'")
+def feedback_left(spark, d):
+    return promotion(spark, d)[2].select("pos")
+
+
 @query("r26_category_titles", """
 select c.categoria, case when c.categoria = 'VDG_MANOSFERA_ANTIFEMINISMO' then 'Manosfera' else c.label end as title from m_categories c union all select 'ninguna', 'Ninguna'""")
 def category_titles(spark, d):
