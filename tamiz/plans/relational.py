@@ -260,6 +260,44 @@ def violence_report(spark, d):
     return violence_sections(view(spark, d, "m_analysis"))
 
 
+def export(spark, d, section):
+    from tamiz.sources.sinks import export_sections
+
+    null = F.lit(None).cast("string")
+    posts = view(spark, d, "m_posts").withColumn("url", null)
+    comments = view(spark, d, "m_comments").withColumns({"date": null, "parent_id": null})
+    analyses = view(spark, d, "m_analysis").withColumns({"codigo": null, "confianza": F.lit("0.5")})
+    made = {"confianza": null, "score_ajuste": F.lit("1.0"), "es_falso_positivo_probable": null, "regla_disparada": null, "marcadores_detectados": F.when(F.col("orden") == 0, '["a", "b"]'), "justificacion": F.lit("x" * 600), "evidencia": null}
+    return export_sections(posts, comments, analyses, view(spark, d, "m_labels").withColumns(made))[section]
+
+
+@query("s15_export_posts", "select id, coalesce(substr(text, 1, 500), '') as text, author, coalesce(date, '') as date, likes, comments_count, shares, '' as url, page_id from m_posts")
+def export_posts(spark, d):
+    return export(spark, d, "posts")
+
+
+@query("s15_export_comments", "select id, coalesce(substr(text, 1, 500), '') as text, author, '' as date, likes, post_id, '' as parent_id from m_comments where post_id in (select id from m_posts)")
+def export_comments(spark, d):
+    return export(spark, d, "comments")
+
+
+@query("s15_export_analyses", "select id, content_type, content_id, tiene_violencia, categoria, coalesce(dimension, '') as dimension, '' as codigo, severidad, '0.5' as confianza, justificacion, (select count(*) from m_labels l where l.analysis_result_id = m_analysis.id) as n_etiquetas from m_analysis")
+def export_analyses(spark, d):
+    return export(spark, d, "analyses")
+
+
+@query("s15_export_labels", "select analysis_result_id, orden, categoria, coalesce(dimension, '') as dimension, severidad, '' as confianza, '1.0' as score_ajuste, 'false' as es_falso_positivo_probable, '' as regla_disparada, case when orden = 0 then 'a|b' else '' end as marcadores_detectados, repeat('x', 500) as justificacion, '' as evidencia from m_labels")
+def export_labels(spark, d):
+    return export(spark, d, "labels")
+
+
+@query("s17_violence_rows", "select 'categoria' as seccion, categoria as valor, id, content_id from m_analysis where tiene_violencia = 'true' union all select 'severidad', severidad, id, content_id from m_analysis where tiene_violencia = 'true'")
+def violence_rows(spark, d):
+    from tamiz.sources.sinks import violence_rows as rows
+
+    return rows(view(spark, d, "m_analysis")).select("seccion", "valor", "id", "content_id")
+
+
 @query("s20_inspector_rows", """
 select a.id, a.content_type, coalesce(string_agg(case when l.orden is not null then concat(l.categoria, '|', coalesce(l.dimension, ''), '|', l.severidad) end, '||' order by l.orden), '') as etiquetas
 from m_analysis a left join m_labels l on l.analysis_result_id = a.id where a.exclusion_label is null group by a.id, a.content_type""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.functions.text import as_markers
 from tamiz.operators.relational import nested
 
 
@@ -14,6 +15,35 @@ def export_analysis(analysis: DataFrame, texts: DataFrame, longest: int = 500) -
     return analysis.join(t, F.col("id") == F.col("_k")).select("id", "categoria", F.coalesce("dimension", F.lit("")).alias("dimension"), "texto")
 
 
+def export_sections(posts: DataFrame, comments: DataFrame, analyses: DataFrame, labels: DataFrame, longest: int = 500) -> dict[str, DataFrame]:
+    """The four sections of an export, by name: posts, comments of these posts, analyses with the number of their labels, labels. Texts are cut to `longest` characters; null is empty."""
+    text = lambda c, name=None: F.coalesce(F.substring(c, 1, longest), F.lit("")).alias(name or c)
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    number = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    held = comments.join(posts.select(F.col("id").alias("_p")).distinct(), F.col("post_id") == F.col("_p"), "left_semi")
+    n = labels.groupBy(F.col("analysis_result_id").alias("_a")).agg(F.count("*").alias("_n"))
+    counted = analyses.join(n, F.col("id") == F.col("_a"), "left")
+    marks = F.array_join(as_markers(F.col("marcadores_detectados")), "|") if labels.schema["marcadores_detectados"].dataType.typeName() == "string" else F.array_join("marcadores_detectados", "|")
+    return {
+        "posts": posts.select("id", text("text"), said("author"), said("date"), number("likes"), number("comments_count"), number("shares"), said("url"), said("page_id")),
+        "comments": held.select("id", text("text"), said("author"), said("date"), number("likes"), "post_id", said("parent_id")),
+        "analyses": counted.select("id", "content_type", "content_id", said("tiene_violencia"), said("categoria"), said("dimension"), said("codigo"), said("severidad"), said("confianza"), text("justificacion"), F.coalesce("_n", F.lit(0)).alias("n_etiquetas")),
+        "labels": labels.select("analysis_result_id", "orden", said("categoria"), said("dimension"), said("severidad"), said("confianza"), said("score_ajuste"), F.coalesce("es_falso_positivo_probable", F.lit("false")).alias("es_falso_positivo_probable"), said("regla_disparada"),
+                                F.coalesce(marks, F.lit("")).alias("marcadores_detectados"), text("justificacion"), text("evidencia")),
+    }
+
+
+def violence_rows(analysis: DataFrame) -> DataFrame:
+    """Every violent row twice: under its category and under its severity (seccion, valor), for a report in folders by these two. No group is held together."""
+    v = analysis.where(F.col("tiene_violencia") == "true")
+    both = F.array(*[F.struct(F.lit(c).alias("seccion"), F.coalesce(F.col(c), F.lit("unknown")).alias("valor")) for c in ("categoria", "severidad")])
+    return v.withColumn("_s", F.explode(both)).select("_s.seccion", "_s.valor", *analysis.columns)
+
+
+def write_violence_report(analysis: DataFrame, path: str) -> None:
+    violence_rows(analysis).write.mode("overwrite").partitionBy("seccion", "valor").json(path)
+
+
 def violence_sections(analysis: DataFrame) -> DataFrame:
     """Violent rows counted by category and by severity."""
     v = analysis.where(F.col("tiene_violencia") == "true")

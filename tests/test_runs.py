@@ -106,3 +106,38 @@ def test_against_sql(spark, name):
     from .test_operators import same_as_sql
 
     same_as_sql(spark, name)
+
+
+def test_promoted_reviews(spark):
+    from tamiz.operators.review import promoted
+
+    a = spark.createDataFrame([(1, "A", "1.1", "baja", "false", "CODIGO_99", "X"), (2, "A", None, "baja", "true", None, None), (3, "A", None, "baja", "true", None, None), (4, "A", "1.1", "baja", "true", None, None)], "id int, categoria string, dimension string, severidad string, tiene_violencia string, exclusion_label string, exclusion_codigo string")
+    ls = spark.createDataFrame([(1, 0, "A", "1.1", "baja"), (4, 0, "A", "1.1", "baja")], "analysis_result_id int, orden int, categoria string, dimension string, severidad string")
+    f = spark.createDataFrame([(0, 1, "true", None, None), (1, 1, "false", None, None), (2, 1, "false", "VDG_Z", None), (3, 2, "false", "VIOLENCIA_COMUN", None), (4, 3, None, None, "2.1"), (5, 9, "false", "VDG_Z", None)], "pos int, analysis_result_id int, agrees string, corrected_categoria string, corrected_dimension string")
+    fl = spark.createDataFrame([(1, 0, "VDG_SALVAGUARDA_FALSO_POSITIVO", "6.3", "baja"), (1, 1, "VDG_Y", "2.2", "alta"), (1, 2, "VDG_W", None, "alta"), (2, 0, "VDG_Q", None, "alta")], "pos int, orden int, categoria string, dimension string, severidad string")
+    rows, labels, left = promoted(a, ls, f, fl)
+    got = {r["id"]: tuple(r)[1:] for r in rows.collect()}
+    assert got == {1: ("VDG_Y", "2.2", "alta", "true", None, None, 1), 2: ("VIOLENCIA_COMUN", None, "ninguna", "false", "VIOLENCIA_COMUN", "FEEDBACK_PROMOTION", 3), 3: ("ninguna", "2.1", "ninguna", "false", None, None, 4), 4: ("A", "1.1", "baja", "true", None, None, None)}
+    assert sorted((r["analysis_result_id"], r["orden"], r["categoria"]) for r in labels.collect()) == [(1, 0, "VDG_SALVAGUARDA_FALSO_POSITIVO"), (1, 1, "VDG_Y"), (1, 2, "VDG_W"), (2, 0, "VIOLENCIA_COMUN"), (4, 0, "A")]
+    assert sorted(r["pos"] for r in left.collect()) == [0, 5]
+
+
+def test_ranks_over_ranges(spark):
+    from tamiz.operators.vectors import above
+
+    rows = [(i, (i * 37 % 50) / 10) for i in range(300)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "i int, score double").repartition(3)
+    good = sorted((s for _, s in rows if s is not None and s >= 1.0), reverse=True)
+    for parts in (1, 2, 7, 500):
+        got = above(df, threshold=1.0, parts=parts).collect()
+        assert len(got) == len(good) and all(r["rank"] == good.index(r["score"]) + 1 for r in got)
+    assert above(df, threshold=99.0).count() == 0
+
+
+def test_the_violence_report_is_written_in_folders(spark, tmp_path):
+    from tamiz.sources.sinks import write_violence_report
+
+    a = spark.createDataFrame([(1, "A", "alta", "true"), (2, None, "alta", "true"), (3, "A", "baja", "false")], "id int, categoria string, severidad string, tiene_violencia string")
+    write_violence_report(a, f"{tmp_path}/r")
+    got = spark.read.json(f"{tmp_path}/r")
+    assert sorted((r["seccion"], r["valor"], r["id"]) for r in got.collect()) == [("categoria", "A", 1), ("categoria", "unknown", 2), ("severidad", "alta", 1), ("severidad", "alta", 2)]
