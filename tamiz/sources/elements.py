@@ -188,7 +188,7 @@ def nearest(comments: DataFrame, posts: DataFrame) -> DataFrame:
             .withColumn("post_idx", F.coalesce("_near", "_first")).drop("_q", "_first", "_c", "_i", "_near"))
 
 
-# Posts in embedded JSON
+# Posts in embedded JSON. The shape of a message, and how far its object may begin before it.
 
 MESSAGE = re.compile(r'"message"\s*:\s*\{\s*"text"\s*:\s*"((?:[^"\\]|\\.){10,2000}?)"', re.DOTALL)
 SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.DOTALL | re.IGNORECASE)
