@@ -126,3 +126,53 @@ def test_scans_and_sinks(spark, tmp_path):
 @pytest.mark.parametrize("name", ["r3_labels_nested", "r17_upsert_customers", "a3_frequency_dimension", "a5_crosstab_pivot", "v1_adjusted", "g5_class_metrics", "l5_valid_labels", "l7_keyword_labels", "k3_nearest_vectors", "l12_feedback_payload", "l13_valid_pairs", "a23_precision_shown"])
 def test_query_against_sql(spark, name):
     same_as_sql(spark, name)
+
+
+def test_a_large_block_compares_only_what_may_be_alike(spark, monkeypatch):
+    import difflib
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choice("aeinorsthdlwbu") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(26)) for _ in range(300)]
+    texts += [t[:90] + t[93:] for t in texts[:5]] + [t[: len(t) // 2] for t in texts[5:10]]
+    tried, matcher = [], difflib.SequenceMatcher
+
+    def counted(*a):
+        tried.append(a)
+        return matcher(*a)
+
+    monkeypatch.setattr(difflib, "SequenceMatcher", counted)
+    heads, places = dedup.Heads(0.95), []
+    for t in texts:
+        places.append(heads.first(t))
+        if places[-1] is None:
+            heads.add(t)
+    assert places[:300] == [None] * 300 and places[300:] == list(range(10)) and len(tried) < 50
+    got = dedup.clusters(comments(spark, [(t, "x") for t in texts]))
+    assert sorted((x["cluster"], x["id"]) for x in got.collect()) == sorted((f"c{k}", f"c{i}") for k in range(10) for i in (k, 300 + k))
+    assert sorted((x["old"], x["new"]) for x in dedup.duplicate_map(got).collect()) == sorted((f"c{300 + k}", f"c{k}") for k in range(10))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.5, 0.8, 0.95, 1.0])
+def test_duplicates_as_by_comparing_all(threshold):
+    import difflib
+    import random
+
+    r, heads, tails = random.Random(7), dedup.Heads(threshold), 0
+    for _ in range(10):
+        base, seen = ["".join(r.choice("abc dñ€") for _ in range(n)) for n in (4, 30, 80, 300)], []
+        heads.clear()
+        for _ in range(30):
+            t = list(r.choice(base))
+            for _ in range(r.choice([0, 1, 3, 8])):
+                t[r.randrange(len(t))] = r.choice(["", "x", "yz"])
+            t = "".join(t)[: r.choice([1000, 25, 1000])] or "x"
+            cut = lambda a, b: len(a) >= 20 and len(b) >= int(1.5 * len(a)) and b.startswith(a)
+            want = next((k for k, h in enumerate(seen) if cut(t, h) or cut(h, t) or difflib.SequenceMatcher(None, t, h).ratio() >= threshold), None)
+            assert heads.first(t) == want
+            tails += want is not None
+            if want is None:
+                seen.append(t)
+                heads.add(t)
+    assert tails
