@@ -7,7 +7,7 @@ from the top of the page; all that is made of these rows is Spark columns, joins
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -193,7 +193,8 @@ def nearest(comments: DataFrame, posts: DataFrame) -> DataFrame:
 MESSAGE = re.compile(r'"message"\s*:\s*\{\s*"text"\s*:\s*"((?:[^"\\]|\\.){10,2000}?)"', re.DOTALL)
 SCRIPT = re.compile(r"<script\b[^>]*>(.*?)(?:</script\s*>|\Z)", re.DOTALL | re.IGNORECASE)
 FAR = 200_000
-FOUND = "struct<at:int,raw:string,object:string>"
+FOUND = "struct<at:int,raw:string,object:string,total:string,count:string>"
+SCOPE = '"feedback"'
 
 
 def braces(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -235,21 +236,40 @@ def around(text: str, places: list[int], far: int = FAR) -> list[tuple[int, int]
     return out
 
 
+class _Numbers:
+    """Whole numbers of a key in a page's JSON: the first in a part of the page. The page is searched once."""
+
+    def __init__(self, text: str, key: str) -> None:
+        self.text, self.pattern = text, re.compile(rf'"{key}"\s*:\s*(\d+)', re.ASCII)
+        self.starts = [m.start() for m in self.pattern.finditer(text)]
+
+    def first(self, since: int, to: int) -> str | None:
+        at = bisect_left(self.starts, since)
+        m = self.pattern.match(self.text, self.starts[at], to) if at < len(self.starts) and self.starts[at] < to else None
+        return m[1] if m else None
+
+
 def messages_in(html: str | None) -> list[dict]:
-    """Messages in a page's scripts (or in its text where they stand in none): their place in the page, their raw text and the object around them."""
+    """Messages in a page's scripts (or in its text where they stand in none): their place in the page, their raw text, the object around them and the counts of comments stated within FAR characters."""
     text, out = html or "", []
     places = [(m.start(), m[1]) for m in MESSAGE.finditer(text)]
     if not places:
         return out
+    totals, counts = _Numbers(text, "total_comment_count"), _Numbers(text, "comment_count")
     parts, at = [], 0
     for m in SCRIPT.finditer(text):
         parts += [(at, m.start(1)), (m.start(1), m.end(1))]
         at = m.end(1)
+    starts = [p for p, _ in places]
     for a, b in [*parts, (at, len(text))]:
-        own = [(p, raw) for p, raw in places if a <= p < b]
+        own = places[bisect_left(starts, a):bisect_left(starts, b)]
         if own:
             part = text[a:b]
-            out += [{"at": p, "raw": raw, "object": part[x[0]:x[1]]} for (p, raw), x in zip(own, around(part, [p - a for p, _ in own]), strict=True) if x]
+            for (p, raw), x in zip(own, around(part, [p - a for p, _ in own]), strict=True):
+                if x:
+                    scope = text.find(SCOPE, p, p + FAR)
+                    total = totals.first(scope + len(SCOPE), p + FAR) if scope >= 0 else None
+                    out.append({"at": p, "raw": raw, "object": part[x[0]:x[1]], "total": total, "count": counts.first(p, p + FAR)})
     return out
 
 
@@ -260,10 +280,11 @@ def embedded_posts(pages: DataFrame) -> DataFrame:
             yield batch.map(messages_in)
 
     f = F.pandas_udf(find, f"array<{FOUND}>")
-    rows = pages.select("page_id", "url", "html", F.explode(f("html")).alias("m"))
-    o, window = F.col("m.object"), F.substring("html", F.col("m.at") + 1, F.lit(FAR))
+    # A message's row holds what is its own: a page beside each of its messages would be their product.
+    rows = pages.select("page_id", "url", F.explode(f("html")).alias("m"))
+    o = F.col("m.object")
     given = lambda *c: F.coalesce(*[F.nullif(x, F.lit("")) for x in c])
-    count = F.coalesce(F.nullif(json_int(window, "total_comment_count", '"feedback"'), F.lit(0)), json_int(window, "comment_count"), F.lit(0))
+    count = F.coalesce(F.nullif(F.col("m.total").try_cast("long"), F.lit(0)), F.col("m.count").try_cast("long"), F.lit(0))
     epoch = F.coalesce(F.nullif(json_int(o, "creation_time"), F.lit(0)), json_int(o, "publish_time"))
     rows = rows.select("page_id", "url", F.col("m.at").alias("at"), trimmed(decoded("m.raw")).alias("text"), F.coalesce(given(json_field(o, "name", '"owner"'), json_field(o, "name", '"actor"')), F.lit(UNKNOWN)).alias("author"),
                        F.coalesce(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(F.when(epoch > 0, epoch)), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit("")).alias("date"), count.cast("int").alias("comments_count"),

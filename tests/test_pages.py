@@ -179,3 +179,21 @@ def test_against_sql(spark, name):
     from .test_operators import same_as_sql
 
     same_as_sql(spark, name)
+
+
+def test_embedded_posts_carry_no_page(spark):
+    """Counts are those of what follows a message within FAR characters, as reading that part of the page gives them; a page does not go beside each of its messages."""
+    import re
+
+    node = lambda i, more: '{"message": {"text": "Nota numero %d de prueba"}, %s "x": 1}' % (i, more)
+    stated = ['"feedback": {"total_comment_count" : 12},', '"comment_count":3,', '"feedback": {"total_comment_count": 0}, "comment_count": 7,', '"comment_count": 99999999999999999999,', ""]
+    html = "".join(f"<script>{node(i, stated[i % 5])}</script>" for i in range(40)) + "ñ" * (E.FAR - 60) + "<script>" + node(41, "") + '"comment_count": 4567</script>'
+    for m in E.messages_in(html):
+        part = html[m["at"]:m["at"] + E.FAR]
+        scope = part.find(E.SCOPE)
+        total = re.search(r'"total_comment_count"\s*:\s*(\d+)', part[scope + len(E.SCOPE):], re.ASCII) if scope >= 0 else None
+        count = re.search(r'"comment_count"\s*:\s*(\d+)', part, re.ASCII)
+        assert (m["total"], m["count"]) == (total and total[1], count and count[1])
+    rows = E.embedded_posts(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    assert "html" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert [r["comments_count"] for r in rows.orderBy("post_idx").collect()][:4] == [12, 3, 7, 12]
