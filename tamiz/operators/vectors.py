@@ -29,8 +29,8 @@ def word_overlap(a: Column | str, b: Column | str) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, cosine_distance: bool = False) -> DataFrame:
-    """query_id, vec_id, distance, rank: the k nearest rows of every query, ties by vec_id.
+def search(rows: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000, cosine_distance: bool = False, digits: int | None = None) -> DataFrame:
+    """query_id, vec_id, distance, rank: the k nearest rows of every query, ties by vec_id. digits: distances are rounded to these before they are ranked.
 
     queries(query_id, query) is a stated set of at most `most_queries` rows, compared with all rows as a broadcast. Spark
     keeps each task's k best before rows move (a limit on the rank of a window is pushed below the shuffle).
@@ -39,7 +39,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_0
         raise ValueError(f"more than {most_queries} queries; search them in parts")
     pairs = rows.crossJoin(F.broadcast(queries))
     d = (1 - cosine("embedding", "query")) if cosine_distance else squared_distance("embedding", "query")
-    scored = pairs.select("query_id", "vec_id", d.alias("distance"))
+    scored = pairs.select("query_id", "vec_id", (d if digits is None else F.round(d, digits)).alias("distance"))
     w = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

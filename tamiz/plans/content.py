@@ -273,7 +273,7 @@ r as (select *, row_number() over (partition by query_id order by distance, vec_
 def nearest_vectors(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", "embedding")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return vectors.search(e, q, 10, most_queries=1_000_000).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), "rank")
+    return vectors.search(e, q, 10, most_queries=1_000_000, digits=6).select("query_id", "vec_id", "distance", "rank")
 
 
 @query("k6_cosine_to_first", """

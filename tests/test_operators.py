@@ -176,3 +176,11 @@ def test_duplicates_as_by_comparing_all(threshold):
                 seen.append(t)
                 heads.add(t)
     assert tails
+
+
+def test_search_ranks_what_it_rounds(spark):
+    rows = spark.createDataFrame([(1, [1.00000002]), (2, [1.0]), (3, [1.1])], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [0.0])], "query_id long, query array<double>")
+    found = lambda k, **w: [(r["vec_id"], r["distance"], r["rank"]) for r in vectors.search(rows, q, k, **w).orderBy("rank").collect()]
+    assert found(2, digits=6) == [(1, 1.0, 1), (2, 1.0, 2)] and found(1, digits=6) == [(1, 1.0, 1)]
+    assert [r[0] for r in found(2)] == [2, 1]
