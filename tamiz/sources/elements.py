@@ -7,12 +7,15 @@ from the top of the page; all that is made of these rows is Spark columns, joins
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,12 @@ COMMENT_LIKES = [r"(?iU)(\d+)\s*(?:Me gusta|Like|likes)"]
 LEAST_POST, LEAST_COMMENT, SAME_TEXT = 10, 5, 200
 UNKNOWN = "Unknown"
 
-ELEMENT = "struct<kind:string,selector:int,idx:int,label:string,link:string,dated:string,text:string,path:array<int>>"
+#: Attributes that a selector or a field reads, and rows of elements that leave a task at a time.
+READ = frozenset("aria-label data-testid class role data-pagelet href datetime".split())
+ROWS = 2000
+ELEMENT = {"kind": pa.string(), "selector": pa.int32(), "idx": pa.int32(), "label": pa.string(), "link": pa.string(), "dated": pa.string(), "text": pa.string(), "path": pa.list_(pa.int32())}
+ELEMENT_DDL = "kind string, selector int, idx int, label string, link string, dated string, text string, path array<int>"
+NOTHING: dict = {}
 
 
 class _Tree(HTMLParser):
@@ -59,8 +67,8 @@ class _Tree(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.parents.append(self.open[-1])
-        self.tags.append(tag)
-        self.attrs.append(dict(attrs))
+        self.tags.append(sys.intern(tag))
+        self.attrs.append({k: v for k, v in attrs if k in READ} or NOTHING)
         for column in (self.text_from, self.text_to):
             column.append(len(self.texts))
         self.last.append(len(self.tags) - 1)
@@ -106,7 +114,7 @@ class _Tree(HTMLParser):
         return sorted_elements[at] if at < len(sorted_elements) and sorted_elements[at] <= self.last[k] else None
 
 
-def elements_in(html: str | None) -> list[dict]:
+def elements_in(html: str | None) -> Iterator[dict]:
     """A row for each time that a selector takes an element of a page."""
     t = _Tree()
     t.feed(html or "")
@@ -117,26 +125,29 @@ def elements_in(html: str | None) -> list[dict]:
     found = [("post", n, [k for k in every if takes(t.tags[k], t.attrs[k])]) for n, takes in enumerate(POST_SELECTORS)]
     found.append(("comment", 0, [k for k in every if COMMENT_ID.search(t.attrs[k].get("data-testid") or "")]))
     found.append(("comment", 1, [owner for owner, said in zip(t.owners, t.texts, strict=True) if REPLY.search(said)]))
-    out = []
     for kind, selector, taken in found:
         for idx, k in enumerate(taken):
             link, time = t.first_inside(k, links), t.first_inside(k, times)
-            out.append({"kind": kind, "selector": selector, "idx": idx, "label": t.attrs[k].get("aria-label"), "link": None if link is None else "".join(t.texts[t.text_from[link]:t.text_to[link]]),
-                        "dated": None if time is None else t.attrs[time].get("datetime"), "text": " ".join(t.texts[t.text_from[k]:t.text_to[k]]), "path": t.path(k)})
-    return out
+            yield {"kind": kind, "selector": selector, "idx": idx, "label": t.attrs[k].get("aria-label"), "link": None if link is None else "".join(t.texts[t.text_from[link]:t.text_to[link]]),
+                   "dated": None if time is None else t.attrs[time].get("datetime"), "text": " ".join(t.texts[t.text_from[k]:t.text_to[k]]), "path": t.path(k)}
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """page_id, url, kind, selector, idx, label, link, dated, text and path of every element of pages(page_id, url, html) that a selector takes.
 
-    Parsing HTML has no form in Spark; it runs page by page in batches, and its rows are short-lived: what follows needs no page.
+    Parsing HTML has no form in Spark; it runs page by page, and a task holds one page's tags and ROWS rows of its elements at
+    a time. What follows needs no page.
     """
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(elements_in)
-
-    f = F.pandas_udf(parse, f"array<{ELEMENT}>")
-    return pages.select("page_id", "url", F.explode(f("html")).alias("e")).select("page_id", "url", "e.*")
+            keys = [batch.column("page_id"), batch.column("url")]
+            for n in range(batch.num_rows):
+                rows = elements_in(batch.column("html")[n].as_py())
+                while some := list(islice(rows, ROWS)):
+                    own = [pa.repeat(key[n], len(some)) for key in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.array([r[c] for r in some], kind) for c, kind in ELEMENT.items()]], names=["page_id", "url", *ELEMENT])
+
+    return pages.select("page_id", "url", "html").mapInArrow(parse, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, {ELEMENT_DDL}")
 
 
 def _first_kind(rows: DataFrame) -> DataFrame:

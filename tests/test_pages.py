@@ -197,3 +197,15 @@ def test_embedded_posts_carry_no_page(spark):
     rows = E.embedded_posts(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
     assert "html" not in rows._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert [r["comments_count"] for r in rows.orderBy("post_idx").collect()][:4] == [12, 3, 7, 12]
+
+
+def test_elements_leave_a_page_bit_by_bit(spark):
+    n = 2 * E.ROWS + 7
+    html = '<body onload="x"><div role="article">' + "".join(f'<p data-testid="comment" id="{i}">texto {i}</p>' for i in range(n)) + "</div></body>"
+    assert next(E.elements_in(html))["kind"] == "post"  # rows are made as they are taken
+    t = E._Tree()
+    t.feed(html)
+    assert set().union(*t.attrs) <= E.READ
+    found = E.elements(spark.createDataFrame([(1, "u", html), (2, None, None), (None, "v", html)], "page_id int, url string, html string"))
+    got = [(r["page_id"], r["url"], r["idx"], r["text"]) for r in found.where("kind = 'comment'").collect()]
+    assert sorted(map(str, got)) == sorted(str((p, u, i, f"texto {i}")) for p, u in ((1, "u"), (None, "v")) for i in range(n))
