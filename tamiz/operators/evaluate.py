@@ -77,15 +77,19 @@ def category_of(orden: Column, codes: list[str]) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, codes)), F.when(orden > 0, orden)), F.concat(F.lit("UNKNOWN_"), orden.cast("string")))
 
 
-def live(items: DataFrame, classified: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def live(items: DataFrame, classified: Callable[[DataFrame], DataFrame], folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(items to evaluate, predicted labels) of a classifier over items(content_id, text, gt_exclusion).
 
     classified: content to the same with labels, exclusion_label, error and seconds, as classify.classify gives it. Items
     without a text are left out of both, as what nobody could classify. What failed stays among the items, with nothing
-    predicted and its error. Store the first result where it is used more than once: it runs the classifier.
+    predicted and its error. folder: where what the classifier gives is written once, for both results to read; without one,
+    each use of either runs the classifier.
     """
     rows = classified(items.where(F.coalesce("text", F.lit("")) != ""))
     kept = rows.select("content_id", "gt_exclusion", F.col("exclusion_label").alias("pred_exclusion"), "error", "seconds", F.transform("labels", lambda x: F.struct(x["categoria"].alias("categoria"), x["dimension"].alias("dimension"))).alias("labels"))
+    if folder is not None:
+        kept.write.parquet(folder)
+        kept = items.sparkSession.read.schema(kept.schema).parquet(folder)
     return kept, kept.select("content_id", F.explode("labels").alias("l")).select("content_id", "l.categoria", "l.dimension").distinct()
 
 

@@ -29,7 +29,7 @@ def live(spark, d):
     a = view(spark, d, "m_analysis").select(F.col("id").alias("_a"), F.col("exclusion_label").alias("gt_exclusion"))
     items = texts.join(a, F.col("doc_id") == F.col("_a")).select(F.col("doc_id").alias("content_id"), "text", "gt_exclusion", "reply")
     truth = view(spark, d, "m_labels").where("categoria <> 'ninguna'").select(F.col("analysis_result_id").alias("content_id"), "categoria", "dimension")
-    return *evaluate.live(items, lambda content: classify.classify(content, reply="reply")), truth
+    return *evaluate.live(items, lambda content: classify.classify(content, reply="reply"), shared_folder(spark)), truth
 
 
 @query("g7_live_items", f"""with {_LIVE} select id as content_id, n_gt, n_pred, case when either = 0 then 1.0 else both_ * 1.0 / either end as jaccard, case when both_ = either and gt_exclusion is not distinct from pred_exclusion then 'exact' when both_ > 0 then 'partial' else 'none' end as match,
