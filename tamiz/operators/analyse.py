@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions.labels import primary_label
@@ -63,10 +63,14 @@ def label_rows(rows: DataFrame) -> DataFrame:
 
 def error_rows(rows: DataFrame) -> DataFrame:
     """content_type, content_id, bucket of errors and code of the rows that failed."""
-    kind = F.lit("errors_db")
-    for code, name in ERROR_BUCKETS.items():
-        kind = F.when(F.col("error") == code, name).otherwise(kind)
-    return rows.where("error is not null").select(*KEY, kind.alias("error_bucket"), F.col("error"))
+    def failed(code: Column) -> Column:
+        kind = F.lit("errors_db")
+        for known, name in ERROR_BUCKETS.items():
+            kind = F.when(code == known, name).otherwise(kind)
+        return F.struct(kind.alias("error_bucket"), code.alias("error"))
+
+    # A filter on the error would run all that leads to it once more.
+    return rows.select(*KEY, F.explode(F.transform(F.array_compact(F.array("error")), failed)).alias("e")).select(*KEY, "e.*")
 
 
 MEASURED = ["posts_analyzed", "comments_analyzed", "violence_detected_posts", "violence_detected_comments", "errors", *sorted(set(ERROR_BUCKETS.values()))]

@@ -141,3 +141,34 @@ def test_the_violence_report_is_written_in_folders(spark, tmp_path):
     write_violence_report(a, f"{tmp_path}/r")
     got = spark.read.json(f"{tmp_path}/r")
     assert sorted((r["seccion"], r["valor"], r["id"]) for r in got.collect()) == [("categoria", "A", 1), ("categoria", "unknown", 2), ("severidad", "alta", 1), ("severidad", "alta", 2)]
+
+
+def test_live_runs_the_classifier_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        seen.add(len(texts))
+        return [None for _ in texts]
+
+    from tamiz.operators import classify, evaluate
+
+    items = spark.createDataFrame([(i, f"una frase cualquiera sobre el trabajo numero {i}", None) for i in range(9)], "content_id long, text string, gt_exclusion string")
+    kept, predicted = evaluate.live(items, lambda c: classify.classify(c, model), f"{tmp_path}/live")
+    truth = spark.createDataFrame([(1, "a", None)], "content_id long, categoria string, dimension string")
+    assert evaluate.per_item(kept, truth, predicted).count() == 9 and evaluate.focused(kept, truth, predicted).count() == 9 and seen.value == 9
+
+
+def test_error_rows_and_exact_groups_filter_by_nothing_costly(spark):
+    from tamiz.operators import analyse, dedup
+
+    rows = [("post", f"p{i}", "una frase cualquiera sobre el trabajo", r) for i, r in enumerate(["{}", "no json", None, "[]"])]
+    content = spark.createDataFrame(rows, "content_type string, content_id string, text string, reply string").selectExpr("content_type", "content_id", "content_id as post_id", "cast(null as string) as comment_id", "text", "reply")
+    errors = analyse.error_rows(analyse.analysed(content, reply="reply"))
+    assert sorted((r["content_id"], r["error_bucket"], r["error"]) for r in errors.collect()) == [("p1", "errors_parse", "invalid_json"), ("p2", "errors_model", "no_reply"), ("p3", "errors_validation", "not_an_object")]
+    comments = spark.createDataFrame([("a", "Hola  a todas", "x", "p"), ("b", "hola a todas", " x", "p"), ("c", "hola a todas", "y", "p"), ("d", " ", "x", "p"), ("e", None, "x", "p"), ("f", "hola a todas", None, None)], "id string, text string, author string, post_id string")
+    groups = dedup.exact_clusters(comments)
+    assert sorted((r["id"], r["cluster"], r["text"]) for r in groups.collect()) == [("a", "a", "Hola  a todas"), ("b", "a", "hola a todas")]
+    for df in (errors, groups):
+        filters = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert not [f for f in filters if "RLIKE" in f or "regexp" in f or "json" in f]
+    assert "Join" not in groups._jdf.queryExecution().optimizedPlan().toString()
