@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from .vectors import search
 #: Texts of a batch to their vectors, in order.
 Provider = Callable[[list[str]], list[list[float]]]
 VECTORS = "digest string, embedding array<double>"
+#: Texts that a provider is asked for at a time.
+ASKED = 512
 COLLECTION = "id string, source string, text string, metadata map<string,string>, embedding array<double>, bucket int"
 PROVENANCE = "human_feedback"
 
@@ -28,15 +30,18 @@ def vectors_of(texts: DataFrame, provider: Provider, text: str = "text", known:
 
     Equal texts meet by their digests before the provider sees them: it is asked once for each, batch by batch, in the tasks.
     """
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.Series([[float(x) for x in v] for v in provider(list(batch))], index=batch.index, dtype=object)
+            for at in range(0, batch.num_rows, ASKED):
+                some = batch.slice(at, ASKED)
+                vectors = pa.array([[float(x) for x in v] for v in provider(some.column("_text").to_pylist())], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([some.column("digest"), vectors], names=["digest", "embedding"])
 
     rows = texts.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("_text"))
     if known is not None:
         rows = rows.join(known.select(F.col("digest").alias("_known")), F.col("digest") == F.col("_known"), "left_anti")
     once = rows.groupBy("digest").agg(F.first("_text").alias("_text"))
-    return once.select("digest", F.pandas_udf(run, "array<double>").asNondeterministic()(F.col("_text")).alias("embedding"))
+    return once.select("digest", "_text").mapInArrow(run, VECTORS)
 
 
 def embedded(rows: DataFrame, provider: Provider, text: str = "text", known: DataFrame | None = None) -> DataFrame:

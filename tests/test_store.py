@@ -109,3 +109,13 @@ def test_against_sql(spark, name):
     from .test_operators import same_as_sql
 
     same_as_sql(spark, name)
+
+
+def test_a_provider_is_asked_for_some_texts_at_a_time(spark):
+    def few(texts):
+        if len(texts) > store.ASKED:
+            raise ValueError(len(texts))
+        return letters(texts)
+
+    rows = spark.range(5 * store.ASKED).selectExpr("concat('texto ', id) as text").coalesce(1)
+    assert store.embedded(rows, few).where("embedding is not null").count() == 5 * store.ASKED
