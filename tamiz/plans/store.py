@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tamiz.operators import store as S
 from tamiz.sources.model import spread, table, view
+from tamiz.sources.tables import written
 
 from .registry import query
 
@@ -63,6 +64,6 @@ s as (select query_id, id, list_sum(list_transform(list_zip(v, q), lambda p: pow
 select query_id, id, distance, cast(rank as integer) as rank from r where rank <= 3""")
 def correction_search(spark, d):
     """Every hundredth document's nearest corrections to one category."""
-    rows = S.embedded(pending(spark, d), letters)
+    rows = S.embedded(written(pending(spark, d).drop("feedback_id")), letters)
     asked = table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
     return S.find(rows, asked, letters, 3, {"corrected_categoria": "VDG_MANOSFERA_ANTIFEMINISMO"}, most_queries=1_000_000).select("query_id", "id", "distance", "rank")

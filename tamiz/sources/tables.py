@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tamiz-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, worked out once into a fresh shared folder, for what reads them more than once."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def measured(seen: Observation) -> dict:
     """What was observed; nothing where Spark found the plan to have no rows and left out the measures with it."""
     try:

@@ -4,8 +4,10 @@ import numbers
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamiz.operators import chunks, dedup, evaluate, relational, review, stats, vectors
@@ -178,6 +180,51 @@ def test_duplicates_as_by_comparing_all(threshold):
     assert tails
 
 
+@pytest.mark.parametrize("digits", [None, 2])
+def test_search_by_cells_is_exact(spark, monkeypatch, digits):
+    """Cells, parts and salts, near values of one component, copies, and vectors of other lengths or without numbers: as all pairs give them."""
+    monkeypatch.setattr(vectors, "CELL", 16)
+    monkeypatch.setattr(vectors, "PER_CELL", 4)
+    monkeypatch.setattr(vectors, "SEEN", 8)
+    monkeypatch.setattr(vectors, "TOGETHER", 40)
+    x = [[float(i % 7 * 3), float(i * i % 11), float(i // 3)] for i in range(600)] + [[7.0, 7.0, 7.0]] * 60
+    x += [None, [], [], [1.0], [1.0, float("nan"), 2.0], [None, 1.0, 2.0], [1e200, 0.0, 0.0], [float("inf"), 0.0, 0.0], [-0.0, 0.0, 0.0], [0.0, -0.0, 0.0]]
+    rows = spark.createDataFrame([(f"r{i}", v) for i, v in enumerate(x)], "vec_id string, embedding array<double>").repartition(3)
+    q = rows.where("vec_id like '%3' or vec_id >= 'r65'").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    pairs = rows.crossJoin(q).withColumn("distance", vectors.squared_distance("embedding", "query"))
+    w = Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance" if digits is None else F.round("distance", digits)), "vec_id")
+    want = pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 4").select("query_id", "vec_id", "rank")
+    assert sorted(map(tuple, vectors.search(rows, q, 4, digits=digits).select("query_id", "vec_id", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_search_meets_few_pairs(spark, monkeypatch):
+    """Queries go to the cells that may hold their nearest rows: four times the rows and queries make about four times the visits."""
+    monkeypatch.setattr(vectors, "CELL", 32)
+
+    def visits(n):
+        x = np.random.default_rng(3).random((n, 2))
+        cells = vectors.Cells(x, 16, 0)
+        q = x[::20]
+        i, at = cells.about(q, cells.bounds(q, 3))
+        assert len(cells.sizes) > n // 32 and set(zip(range(len(q)), cells.of(q))) <= set(zip(i, at))
+        return len(i)
+
+    assert visits(8000) < 5 * visits(2000)
+
+
+def test_search_works_its_input_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>")
+    q = rows.where("vec_id < 5").selectExpr("vec_id as query_id", "embedding as query").mapInPandas(read, "query_id long, query array<double>")
+    assert vectors.search(rows, q, 2).count() == 10 and seen.value == 5
+
+
 def test_search_ranks_what_it_rounds(spark):
     rows = spark.createDataFrame([(1, [1.00000002]), (2, [1.0]), (3, [1.1])], "vec_id long, embedding array<double>")
     q = spark.createDataFrame([(7, [0.0])], "query_id long, query array<double>")
