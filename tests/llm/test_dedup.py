@@ -178,3 +178,36 @@ def test_parities_never_exceed_the_difference():
             x, y = (np.bitwise_xor.reduce(bits[m].reshape(-1, k), axis=0) for m in (i, j))
             differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
             assert differ <= len(np.setxor1d(a, b)) and (differ - len(np.setxor1d(a, b))) % 2 == 0
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    """What its query shuffled goes at its end, and the session's setting is as before."""
+    import time
+
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    setting, before = spark.conf.get(common.CLEANUP), files()
+    out = common.stored(spark.range(50_000).selectExpr("id % 7919 as k").groupBy("k").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert out.count() == 7919 and spark.conf.get(common.CLEANUP) == setting
+
+
+def test_regions_in_parts(spark):
+    """Regions found part by part are those found at once, of shingles that are frequent or not, and parts leave no tables."""
+    import os
+
+    rng = random.Random(5)
+    often = set(range(-20, 20))
+    rows = []
+    for x in range(80):
+        prefix = sorted(rng.sample(range(-60, 60), 12), key=lambda g: (g in often, g))
+        rows.append((x, rng.randint(20, 40), prefix, sum(g not in often for g in prefix)))
+    reps = spark.createDataFrame(rows, "x long, n long, prefix array<long>, rare int")
+    folder = os.path.dirname(common.stored(reps).stored_at).removeprefix("file:")
+    there = set(os.listdir(folder))
+    whole, parts = (sorted(map(tuple, ngram_join.first_regions(reps, k).collect())) for k in (1, 5))
+    assert whole == parts and len({r[0] for r in whole}) > 100
+    assert len(set(os.listdir(folder)) - there) == 2
